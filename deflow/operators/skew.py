@@ -40,12 +40,6 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
     return is_hot.join(F.broadcast(hot_right), on, how).unionByName(cold.join(right, on, how))
 
 
-def group_sizes(df: DataFrame, keys: list[str]) -> int:
-    """Rows in the largest group."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return row["m"] or 0
-
-
 def rank_in_group(df: DataFrame, keys: list[str], order: list, segment: Column, out: str) -> DataFrame:
     """1-based row number within ``keys`` by ``order``, without gathering a group in one task.
 

@@ -21,35 +21,45 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NODE = ("struct<kind:string,role:string,name:string,s:int,e:int,ctx:string,top:int,up:int,"
         "kids:array<int>,size:int>")
 FUNCTION_DDL = (f"ws string, uri string, fn int, func_name string, func_start int, func_end int, nodes array<{NODE}>")
-_NODE_PA = pa.struct([
-    ("kind", pa.string()), ("role", pa.string()), ("name", pa.string()), ("s", pa.int32()), ("e", pa.int32()),
-    ("ctx", pa.string()), ("top", pa.int32()), ("up", pa.int32()), ("kids", pa.list_(pa.int32())), ("size", pa.int32()),
-])
-_ROW_PA = pa.schema([
-    ("ws", pa.string()), ("uri", pa.string()), ("fn", pa.int32()), ("func_name", pa.string()),
-    ("func_start", pa.int32()), ("func_end", pa.int32()), ("nodes", pa.list_(_NODE_PA)),
-])
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+_TYPES = dict(kind=pa.string(), role=pa.string(), name=pa.string(), s=pa.int32(), e=pa.int32(), ctx=pa.string(),
+              top=pa.int32(), up=pa.int32(), kids=pa.list_(pa.int32()), size=pa.int32())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Function rows as one columnar batch; node fields are transposed instead of boxed one by one."""
+    ws, uri, fn, name, start, end, nodes = zip(*rows)
+    ends = [0]
+    for n in nodes:
+        ends.append(ends[-1] + len(n))
+    flat = list(zip(*(x for n in nodes for x in n))) or [()] * len(_TYPES)
+    fields = [pa.array(c, type=t) for c, t in zip(flat, _TYPES.values())]
+    struct = pa.StructArray.from_arrays(fields, names=list(_TYPES))
+    as_int = lambda c: pa.array(c, type=pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ws, type=pa.string()), pa.array(uri, type=pa.string()), as_int(fn), pa.array(name, type=pa.string()),
+         as_int(start), as_int(end), pa.ListArray.from_arrays(as_int(ends), struct)],
+        names=["ws", "uri", "fn", "func_name", "func_start", "func_end", "nodes"])
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     for ws, uri, text in zip(*(batch.column(c).to_pylist() for c in ("ws", "uri", "text"))):
         functions, errors = read_functions(text or "")
         for i, f in enumerate(functions):
-            yield {"ws": ws, "uri": uri, "fn": i, "func_name": f["name"], "func_start": f["s"], "func_end": f["e"], "nodes": f["nodes"]}
+            yield ws, uri, i, f["name"], f["s"], f["e"], f["nodes"]
         for i, (s, e) in enumerate(errors):
-            yield {"ws": ws, "uri": uri, "fn": -1 - i, "func_name": None, "func_start": s, "func_end": e, "nodes": []}
+            yield ws, uri, -1 - i, None, s, e, []
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[dict] = []
+        rows: list[tuple] = []
         for row in _rows(batch):
             rows.append(row)
             if len(rows) >= 2000:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ROW_PA)
+                yield _batch(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_ROW_PA)
+            yield _batch(rows)
 
 
 def parse_sources(sources: DataFrame) -> DataFrame:

@@ -64,8 +64,10 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])[F.col("event_type")]
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("func"), "ts", F.col("event_id").alias("node"), tag.alias("tag"),
-        (k % 5).alias("symbol"), F.when(F.col("value") < 20, 3).otherwise(2).alias("def_value"), k.alias("k"))
+        "value", (k % 5).alias("symbol"), F.when(F.col("value") < 20, 3).otherwise(2).alias("def_value"), k.alias("k"))
 
 
 def event_order() -> Order:
-    return Order(F.unix_micros("ts"), ["ts", "node"])
+    """Wall-clock seconds as the position: it never falls while ``ts`` rises, whatever the session's zone."""
+    day = F.unix_date(F.to_date("ts")).cast("long")
+    return Order(day * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"), ["ts", "node"])

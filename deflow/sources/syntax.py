@@ -6,6 +6,9 @@ those nodes (facts, conditions, narrowing) is a Spark expression in ``operators.
 
 Nodes are numbered in evaluation order (a value before its target, an iterable before the loop
 variable), so ``[i, i + size)`` is the subtree of node ``i`` and array order is execution order.
+Children have fixed places: an assignment has [value, target], a parameter [name, default], a guarded
+statement its condition first, a dereference or call its object first. ``name`` is an identifier or
+attribute name, a comparison's operator, or the annotation text of a parameter or assignment.
 """
 
 from __future__ import annotations
@@ -57,15 +60,16 @@ class _Numberer:
         return s[n.lineno - 1 + self.shift] + n.col_offset, s[n.end_lineno - 1 + self.shift] + n.end_col_offset
 
     def add(self, kind, role, name, span, ctx, top, children=()):
-        i = len(self.nodes)
-        node = {"kind": kind, "role": role, "name": name, "s": span[0], "e": span[1], "ctx": ctx,
-                "top": i if top < 0 else top, "up": self.parent, "kids": [], "size": 1}
-        self.nodes.append(node)
+        nodes, kids = self.nodes, []
+        i = len(nodes)
+        top = i if top < 0 else top
+        node = [kind, role, name, span[0], span[1], ctx, top, self.parent, kids, 1]
+        nodes.append(node)
         for child in children:
-            node["kids"].append(len(self.nodes))
+            kids.append(len(nodes))
             self.parent = i
-            child(node["top"])
-        node["size"] = len(self.nodes) - i
+            child(top)
+        node[9] = len(nodes) - i
 
     # -- expressions ---------------------------------------------------------------------------
     def _around(self, s: int, e: int) -> tuple[int, int] | None:
@@ -205,10 +209,10 @@ class _Numberer:
         elif n.value is not None:
             kids.append(self.expr(n.value, "right", "right"))
         kids.append(self.expr(targets[0], "left", "left"))
-        if isinstance(n, ast.AnnAssign):
-            s, e = self.span(n.annotation)
-            kids.append(self.leaf("type", "type", self.lines.raw[s:e].decode("utf-8", "replace"), (s, e), "type"))
-        self.add(kind, "value", None, self.span(n), "value", top, kids)
+        self.add(kind, "value", self.annotation(getattr(n, "annotation", None)), self.span(n), "value", top, kids)
+
+    def annotation(self, n) -> str | None:
+        return None if n is None else self.lines.raw[slice(*self.span(n))].decode("utf-8", "replace")
 
     def parameters(self, a: ast.arguments):
         plain = a.posonlyargs + a.args
@@ -219,9 +223,6 @@ class _Numberer:
             s = self.span(x)[0]
             span = (s, s + len(x.arg.encode()))
             kids = [] if splat and x.annotation else [self.leaf("identifier", "name", x.arg, span, "parameter")]
-            if x.annotation:
-                ts, te = self.span(x.annotation)
-                kids.append(self.leaf("type", "type", self.lines.raw[ts:te].decode("utf-8", "replace"), (ts, te), "type"))
             if default is not None:
                 bare_none = isinstance(default, ast.Constant) and default.value is None and not self._around(*self.span(default))
                 kids.append(self.leaf("none" if bare_none else "expression", "default", None, self.span(default), "default"))
@@ -230,7 +231,7 @@ class _Numberer:
                 (False, True): "default_parameter", (True, True): "typed_default_parameter",
             }[(x.annotation is not None, default is not None)]
             self.parent = -1
-            self.add(kind, "parameter", None, span, "parameter", -1, kids)
+            self.add(kind, "parameter", self.annotation(x.annotation), span, "parameter", -1, kids)
 
 
 def _function(lines: _Lines, n, shift: int, body=None) -> dict:
