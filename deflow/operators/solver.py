@@ -26,7 +26,8 @@ class Solved:
 
     functions: DataFrame   # KEY, names, tape, summ (slot -> callee summary), ctxs
     links: DataFrame       # resolved calls: KEY, slot -> c_uri, c_fn, c_params, t_fn
-    summaries: DataFrame   # KEY, func_name, base, nfp
+    informative: DataFrame  # KEY, base, nfp of functions that say more than "unknown"
+    summaries: DataFrame   # KEY, func_name, base, nfp of all functions
     regressions: DataFrame
     hot: list[tuple]
     rounds: int
@@ -78,32 +79,73 @@ def _no_summaries():
 INFORMATIVE = "(base <> 1Y OR exists(nfp, x -> x))"
 
 
-def summarise(functions: DataFrame, links: DataFrame, hot: list[tuple]) -> tuple[DataFrame, int]:
+def summarise(functions: DataFrame, links: DataFrame, hot: list[tuple], todo: DataFrame | None = None,
+              keep: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Summaries of all functions at the fixpoint; functions without information are left out.
 
     Rounds are bounded by the number of functions, as a reversed linear chain needs one each.
+    Incrementally, only ``todo`` (see ``affected``) is computed, from nothing, and ``keep`` holds the
+    summaries of all others, which cannot change.
     """
     sm = F.expr(summary_sql())
     fold = lambda df: df.select(*KEY, sm.alias("sm")).select(*KEY, "sm.base", "sm.nfp")
-    current = cut(fold(functions.withColumn("summ", _no_summaries())).where(F.expr(INFORMATIVE)))
-    changed, bound, rounds = current, None, 1
-    while True:
+    if keep is None:
+        current = changed = cut(fold(functions.withColumn("summ", _no_summaries())).where(F.expr(INFORMATIVE)))
+    else:
+        maps = _callee_summaries(links.join(todo, KEY, "left_semi"), keep, hot)
+        first = fold(functions.join(todo, KEY, "left_semi").join(maps, KEY, "left").withColumn("summ", F.coalesce("summ", _no_summaries())))
+        changed = cut(first.where(F.expr(INFORMATIVE)))
+        current = cut(keep.unionByName(changed))
+    bound, rounds = None, 1
+    while not changed.isEmpty():
         moved = changed.select("ws", F.col("uri").alias("c_uri"), F.col("fn").alias("c_fn"))
         front = lookup(links, moved, CALLEE, "inner", hot).select(*KEY).distinct()
         maps = _callee_summaries(links.join(front, KEY, "left_semi"), current, hot)
         again = fold(functions.join(maps, KEY))
         old = current.select(*KEY, F.struct("base", "nfp").alias("old"))
-        new = cut(again.join(old, KEY, "left").where(
+        changed = cut(again.join(old, KEY, "left").where(
             F.when(F.col("old").isNull(), F.expr(INFORMATIVE)).otherwise(
                 (F.col("old.base") != F.col("base")) | (F.col("old.nfp") != F.col("nfp")))).drop("old"))
         rounds += 1
-        if new.isEmpty():
-            return current, rounds
-        current = cut(current.join(new, KEY, "left_anti").unionByName(new).where(F.expr(INFORMATIVE)))
-        changed = new
+        if changed.isEmpty():
+            break
+        current = cut(current.join(changed, KEY, "left_anti").unionByName(changed).where(F.expr(INFORMATIVE)))
         bound = bound or functions.count() + 1
         if rounds > bound:
-            return current, rounds
+            break
+    return current, rounds
+
+
+def affected(links: DataFrame, changed: DataFrame, hot: list[tuple]) -> DataFrame:
+    """``changed`` functions and everything that calls them, directly or not."""
+    seen = frontier = cut(changed.select(*KEY).distinct())
+    while not frontier.isEmpty():
+        target = frontier.select("ws", F.col("uri").alias("c_uri"), F.col("fn").alias("c_fn"))
+        frontier = cut(lookup(links, target, CALLEE, "inner", hot).select(*KEY).distinct().join(seen, KEY, "left_anti"))
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def changed_links(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Functions whose call resolution differs, for example because a name became ambiguous."""
+    cols = KEY + ["slot", "c_uri", "c_fn", "c_params", "t_fn"]
+    b, a = before.select(*cols), after.select(*cols)
+    return a.join(b, cols, "left_anti").select(*KEY).unionByName(b.join(a, cols, "left_anti").select(*KEY)).distinct()
+
+
+def resume(functions: DataFrame, before: Solved, changed: DataFrame, scope: str = "workspace", floor: int | None = None) -> Solved:
+    """Re-analyse after an edit. ``functions`` is the new state, ``changed`` the keys that are new,
+    edited or gone. Only affected functions are folded again; everyone else keeps summary and contexts,
+    so a change that leaves all summaries of a file as they were stops right there."""
+    links, hot = resolve(functions, scope, floor)
+    start = changed.select(*KEY).unionByName(changed_links(before.links, links)).distinct()
+    both = links.select(*KEY, *CALLEE[1:]).unionByName(before.links.select(*KEY, *CALLEE[1:])).distinct()
+    todo = affected(cut(both), start, hot)
+    keep = before.informative.join(todo, KEY, "left_anti")
+    current, rounds = summarise(functions, links, hot, todo, keep)
+    redo = fold_contexts(functions.join(todo, KEY, "left_semi"), links.join(todo, KEY, "left_semi"), current, hot)
+    folded = cut(before.functions.join(todo, KEY, "left_anti").unionByName(redo), keep_layout=True)
+    return finish(folded, links, current, hot, rounds)
 
 
 def reach(folded: DataFrame) -> DataFrame:
@@ -143,18 +185,26 @@ def intraprocedural(functions: DataFrame) -> DataFrame:
     return regressions_of(folded, none)
 
 
+def fold_contexts(functions: DataFrame, links: DataFrame, current: DataFrame, hot: list[tuple]) -> DataFrame:
+    """Functions with their callee summaries and the result of every context."""
+    maps = _callee_summaries(links, current, hot)
+    return functions.join(maps, KEY, "left").withColumn("summ", F.coalesce("summ", _no_summaries())).withColumn(
+        "ctxs", F.expr(contexts_sql()))
+
+
+def finish(folded: DataFrame, links: DataFrame, current: DataFrame, hot: list[tuple], rounds: int) -> Solved:
+    regressions = cut(regressions_of(folded, reach(folded.select(*KEY, "ctxs"))))
+    flags = F.expr("transform(filter(sequence(0, n_params), c -> c < n_params), c -> false)")
+    summaries = folded.select(*KEY, "func_name", "n_params").join(current, KEY, "left").select(
+        *KEY, "func_name", F.coalesce("base", F.lit(1).cast("tinyint")).alias("base"), F.coalesce("nfp", flags).alias("nfp"))
+    return Solved(folded, links, current, summaries, regressions, hot, rounds)
+
+
 def solve(functions: DataFrame, scope: str = "workspace", floor: int | None = None) -> Solved:
     """Analyse placed ``functions`` (see ``place``) over whole workspaces or file by file."""
     links, hot = resolve(functions, scope, floor)
     current, rounds = summarise(functions, links, hot)
-    maps = _callee_summaries(links, current, hot)
-    folded = cut(functions.join(maps, KEY, "left").withColumn("summ", F.coalesce("summ", _no_summaries()))
-                 .withColumn("ctxs", F.expr(contexts_sql())), keep_layout=True)
-    regressions = cut(regressions_of(folded, reach(folded.select(*KEY, "ctxs"))))
-    summaries = functions.select(*KEY, "func_name", "n_params").join(current, KEY, "left").select(
-        *KEY, "func_name", F.coalesce("base", F.lit(1).cast("tinyint")).alias("base"),
-        F.coalesce("nfp", F.expr("transform(filter(sequence(0, n_params), c -> c < n_params), c -> false)")).alias("nfp"))
-    return Solved(folded, links, summaries, regressions, hot, rounds)
+    return finish(cut(fold_contexts(functions, links, current, hot), keep_layout=True), links, current, hot, rounds)
 
 
 def solve_sources(parsed: DataFrame, scope: str = "workspace") -> Solved:
