@@ -57,7 +57,7 @@ def hunk_ranges(patch: str) -> Column:
 def merged_sql(hunks: str, n_lines: str, context: str) -> str:
     """Ranges padded by ``context``, clipped to the file, overlapping or adjacent ones merged."""
     shape = "array<struct<s:int,e:int>>"
-    padded = f"array_sort(transform({hunks}, h -> struct(greatest(1, h.s - {context}) AS s, least({n_lines}, h.e + {context}) AS e)))"
+    padded = f"sort_array(transform({hunks}, h -> struct(greatest(1, h.s - {context}) AS s, least({n_lines}, h.e + {context}) AS e)))"
     last = "acc[size(acc) - 1]"
     return f"""aggregate({padded}, cast(array() AS {shape}), (acc, h) ->
         CASE WHEN size(acc) > 0 AND h.s <= {last}.e + 1

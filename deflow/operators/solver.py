@@ -33,10 +33,20 @@ class Solved:
     rounds: int
 
 
+def alone(functions: DataFrame) -> DataFrame:
+    """Functions with the result of every context when no callee is known."""
+    return functions.withColumn("summ", _no_summaries()).withColumn("ctxs", F.expr(contexts_sql())).drop("summ")
+
+
 def place(functions: DataFrame) -> DataFrame:
-    """Spread functions over the shuffle partitions by key and keep them there."""
+    """Spread functions over the shuffle partitions by key and keep them there.
+
+    Every function is folded once on the way, knowing no callee (``ctxs``). For functions without
+    resolvable calls that is already the final result.
+    """
     n = int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(functions.repartition(n, *KEY), keep_layout=True)
+    ready = functions if "ctxs" in functions.columns else alone(functions)
+    return cut(ready.repartition(n, *KEY), keep_layout=True)
 
 
 def resolve(functions: DataFrame, scope: str, floor: int | None = None) -> tuple[DataFrame, list[tuple]]:
@@ -87,33 +97,39 @@ def summarise(functions: DataFrame, links: DataFrame, hot: list[tuple], todo: Da
     Incrementally, only ``todo`` (see ``affected``) is computed, from nothing, and ``keep`` holds the
     summaries of all others, which cannot change.
     """
+    leaf = functions.select(*KEY, F.expr("ctxs[0].ret AS base"), F.expr(
+        "transform(slice(ctxs, 2, n_params), x -> x.ret = 3Y) AS nfp"))
     sm = F.expr(summary_sql())
     fold = lambda df: df.select(*KEY, sm.alias("sm")).select(*KEY, "sm.base", "sm.nfp")
+    informative = F.expr(INFORMATIVE)
     if keep is None:
-        current = changed = cut(fold(functions.withColumn("summ", _no_summaries())).where(F.expr(INFORMATIVE)))
+        current = cut(leaf.where(informative).withColumn("moved", F.lit(True)))
     else:
         maps = _callee_summaries(links.join(todo, KEY, "left_semi"), keep, hot)
-        first = fold(functions.join(todo, KEY, "left_semi").join(maps, KEY, "left").withColumn("summ", F.coalesce("summ", _no_summaries())))
-        changed = cut(first.where(F.expr(INFORMATIVE)))
-        current = cut(keep.unionByName(changed))
+        calling = fold(functions.join(maps, KEY))
+        first = leaf.join(todo, KEY, "left_semi").join(maps, KEY, "left_anti").unionByName(calling)
+        current = cut(first.where(informative).withColumn("moved", F.lit(True)).unionByName(keep.withColumn("moved", F.lit(False))))
     bound, rounds = None, 1
-    while not changed.isEmpty():
-        moved = changed.select("ws", F.col("uri").alias("c_uri"), F.col("fn").alias("c_fn"))
+    while True:
+        moved = current.where("moved").select("ws", F.col("uri").alias("c_uri"), F.col("fn").alias("c_fn"))
         front = lookup(links, moved, CALLEE, "inner", hot).select(*KEY).distinct()
-        maps = _callee_summaries(links.join(front, KEY, "left_semi"), current, hot)
-        again = fold(functions.join(maps, KEY))
+        maps = _callee_summaries(links.join(front, KEY, "left_semi"), current.drop("moved"), hot)
+        again = fold(functions.join(maps, KEY)).select(*KEY, F.struct("base", "nfp").alias("new"))
         old = current.select(*KEY, F.struct("base", "nfp").alias("old"))
-        changed = cut(again.join(old, KEY, "left").where(
-            F.when(F.col("old").isNull(), F.expr(INFORMATIVE)).otherwise(
-                (F.col("old.base") != F.col("base")) | (F.col("old.nfp") != F.col("nfp")))).drop("old"))
+        differs = F.when(F.col("old").isNull(), F.expr("(new.base <> 1Y OR exists(new.nfp, x -> x))")).otherwise(
+            (F.col("old.base") != F.col("new.base")) | (F.col("old.nfp") != F.col("new.nfp")))
+        merged = old.join(again, KEY, "full_outer").select(
+            *KEY, F.coalesce("new.base", "old.base").alias("base"), F.coalesce("new.nfp", "old.nfp").alias("nfp"),
+            (F.col("new").isNotNull() & differs).alias("moved"))
+        # A function that lost its information stays one round as a moved row, so that callers hear of it.
+        current = cut(merged.where(informative | F.col("moved")))
         rounds += 1
-        if changed.isEmpty():
+        if current.where("moved").isEmpty():
             break
-        current = cut(current.join(changed, KEY, "left_anti").unionByName(changed).where(F.expr(INFORMATIVE)))
         bound = bound or functions.count() + 1
         if rounds > bound:
             break
-    return current, rounds
+    return current.drop("moved").where(informative), rounds
 
 
 def affected(links: DataFrame, changed: DataFrame, hot: list[tuple]) -> DataFrame:
@@ -179,17 +195,19 @@ def regressions_of(folded: DataFrame, reached: DataFrame) -> DataFrame:
 
 def intraprocedural(functions: DataFrame) -> DataFrame:
     """Regressions with no knowledge of callees at all."""
-    one = F.expr(f"array({contexts_sql()}[0])")
-    folded = functions.withColumn("summ", _no_summaries()).withColumn("ctxs", one)
-    none = folded.sparkSession.createDataFrame([], "ws string, uri string, fn int, ctx int")
-    return regressions_of(folded, none)
+    none = functions.sparkSession.createDataFrame([], "ws string, uri string, fn int, ctx int")
+    return regressions_of(functions, none)
 
 
 def fold_contexts(functions: DataFrame, links: DataFrame, current: DataFrame, hot: list[tuple]) -> DataFrame:
-    """Functions with their callee summaries and the result of every context."""
+    """Functions with their callee summaries and the result of every context.
+
+    Only functions with a resolved call are folded again.
+    """
     maps = _callee_summaries(links, current, hot)
-    return functions.join(maps, KEY, "left").withColumn("summ", F.coalesce("summ", _no_summaries())).withColumn(
-        "ctxs", F.expr(contexts_sql()))
+    called = functions.withColumnRenamed("ctxs", "alone").join(maps, KEY, "left")
+    return called.withColumn("ctxs", F.when(F.col("summ").isNull(), F.col("alone")).otherwise(F.expr(contexts_sql()))).withColumn(
+        "summ", F.coalesce("summ", _no_summaries())).drop("alone")
 
 
 def finish(folded: DataFrame, links: DataFrame, current: DataFrame, hot: list[tuple], rounds: int) -> Solved:

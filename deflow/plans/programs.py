@@ -37,8 +37,8 @@ def forget() -> None:
     _CACHE.clear()
 
 
-def parsed(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
-    return _once(spark, ("parsed", sf_dir, edited), lambda: cut(parse_sources(line_modules(spark, sf_dir, edited))))
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_sources(line_modules(spark, sf_dir))
 
 
 def placed(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:

@@ -14,7 +14,6 @@ attribute name, a comparison's operator, or the annotation text of a parameter o
 from __future__ import annotations
 
 import ast
-import bisect
 import keyword
 import re
 
@@ -50,195 +49,231 @@ class _Lines:
 
 
 class _Numberer:
-    """Appends one dict per syntax node of a single function."""
+    """Appends one list per syntax node of a single function (fields as in ``sources.code``)."""
 
     def __init__(self, lines: _Lines, shift: int):
-        self.lines, self.shift, self.nodes, self.parent = lines, shift, [], -1
+        self.raw, self.starts, self.shift, self.nodes = lines.raw, lines.starts, shift - 1, []
 
     def span(self, n: ast.AST) -> tuple[int, int]:
-        s = self.lines.starts
-        return s[n.lineno - 1 + self.shift] + n.col_offset, s[n.end_lineno - 1 + self.shift] + n.end_col_offset
+        s, d = self.starts, self.shift
+        return s[n.lineno + d] + n.col_offset, s[n.end_lineno + d] + n.end_col_offset
 
-    def add(self, kind, role, name, span, ctx, top, children=()):
-        nodes, kids = self.nodes, []
+    def open(self, kind, role, name, s, e, ctx, top, up) -> int:
+        nodes = self.nodes
         i = len(nodes)
-        top = i if top < 0 else top
-        node = [kind, role, name, span[0], span[1], ctx, top, self.parent, kids, 1]
-        nodes.append(node)
-        for child in children:
-            kids.append(len(nodes))
-            self.parent = i
-            child(top)
-        node[9] = len(nodes) - i
+        nodes.append([kind, role, name, s, e, ctx, i if top < 0 else top, up, [], 1])
+        if up >= 0:
+            nodes[up][8].append(i)
+        return i
+
+    def close(self, i: int) -> None:
+        self.nodes[i][9] = len(self.nodes) - i
 
     # -- expressions ---------------------------------------------------------------------------
-    def _around(self, s: int, e: int) -> tuple[int, int] | None:
+    def around(self, s: int, e: int) -> tuple[int, int] | None:
         """Span of the grouping parentheses directly around ``[s, e)``, if there are any."""
-        raw, a, b = self.lines.raw, s - 1, e
+        raw, a, b = self.raw, s - 1, e
         while a >= 0 and raw[a] in b" \t\r\n\\":
             a -= 1
+        if a < 0 or raw[a] != 40:
+            return None
         while b < len(raw) and raw[b] in b" \t\r\n\\":
             b += 1
-        if a < 0 or b >= len(raw) or raw[a] != 40 or raw[b] != 41:
+        if b >= len(raw) or raw[b] != 41:
             return None
         before = re.search(rb"([\w\)\]\}'\"]+)[ \t]*$", raw[max(0, a - 80):a])
         if before and not keyword.iskeyword(before.group(1).decode("utf-8", "replace")):
             return None  # a call's own parentheses
         return a, b + 1
 
-    def expr(self, n: ast.AST, role: str, ctx: str):
-        """A closure that numbers ``n``; wrapping parentheses become nodes of their own."""
+    def expr(self, n: ast.AST, role: str, ctx: str, top: int, up: int) -> None:
+        """Number ``n``; grouping parentheses around it become nodes of their own."""
         s, e = self.span(n)
+        w = self.around(s, e) if s and self.raw[s - 1] in b"( \t\r\n" else None
+        if w is None:
+            return self.plain(n, role, ctx, top, up, s, e)
         wraps = []
-        while (w := self._around(s, e)) is not None:
+        while w is not None:
             wraps.append(w)
-            s, e = w
-
-        def inner(top, role=role):
-            self._plain(n, role, ctx, top)
-
-        def build(top):
-            if not wraps:
-                return inner(top)
-            step = lambda t: inner(t, "group")
-            for w in wraps[:-1]:
-                step = (lambda prev, w: lambda t: self.add("parenthesized_expression", "group", None, w, ctx, t, [prev]))(step, w)
-            self.add("parenthesized_expression", role, None, wraps[-1], ctx, top, [step])
-        return build
-
-    def _plain(self, n: ast.AST, role: str, ctx: str, top: int):
-        cls, span, name = type(n).__name__, self.span(n), None
-        kind = EXPRESSION_KIND.get(cls, cls)
-        if cls == "Name":
-            return self.add(kind, role, n.id, span, ctx, top)
-        if cls == "Constant":
+            w = self.around(*w)
+        opened = []
+        for a, b in reversed(wraps):
+            up = self.open("parenthesized_expression", role, None, a, b, ctx, top, up)
+            opened.append(up)
+            role = "group"
+        self.plain(n, role, ctx, top, up, s, e)
+        for i in reversed(opened):
+            self.close(i)
+
+    def plain(self, n: ast.AST, role: str, ctx: str, top: int, up: int, s: int, e: int) -> None:
+        cls = n.__class__
+        if cls is ast.Name:
+            self.open("identifier", role, n.id, s, e, ctx, top, up)
+        elif cls is ast.Constant:
             v = n.value
             kind = ("none" if v is None else "ellipsis" if v is ... else str(v).lower() if isinstance(v, bool)
                     else "string" if isinstance(v, (str, bytes)) else "integer" if isinstance(v, int) else "float")
-            return self.add(kind, role, None, span, ctx, top)
-        if cls in ("Tuple", "List") and ctx in ("left", "target") and isinstance(n.ctx, ast.Store):
-            kind = "list_pattern" if cls == "List" else "tuple_pattern" if self.lines.raw[span[0]] == 40 else "pattern_list"
-        elif cls == "Tuple":
-            bare = n.elts and (self.lines.raw[span[0]] != 40 or self.span(n.elts[0])[0] == span[0] or self.lines.raw[span[1] - 1] != 41)
+            self.open(kind, role, None, s, e, ctx, top, up)
+        elif cls is ast.Attribute:
+            i = self.open("attribute", role, n.attr, s, e, ctx, top, up)
+            self.expr(n.value, "object", ctx, top, i)
+            self.close(i)
+        elif cls is ast.Subscript:
+            i = self.open("subscript", role, None, s, e, ctx, top, up)
+            self.expr(n.value, "object", ctx, top, i)
+            self.expr(n.slice, "index", ctx, top, i)
+            self.close(i)
+        elif cls is ast.Call:
+            i = self.open("call", role, None, s, e, ctx, top, up)
+            self.expr(n.func, "object", ctx, top, i)
+            given = n.args + n.keywords if n.keywords else n.args
+            for c in sorted(given, key=_place) if n.keywords else given:
+                self.part(c, "argument", ctx, top, i)
+            self.close(i)
+        else:
+            kind, name, inside = self.describe(n, cls, ctx, s, e)
+            i = self.open(kind, role, name, s, e, ctx, top, up)
+            for c in _parts(n):
+                self.part(c, "operand", inside, top, i)
+            self.close(i)
+
+    def describe(self, n, cls, ctx: str, s: int, e: int) -> tuple[str, str | None, str]:
+        """Kind, name and inner context of the less frequent expressions."""
+        raw, name = self.raw, None
+        kind = EXPRESSION_KIND.get(cls.__name__, cls.__name__)
+        if cls in (ast.Tuple, ast.List) and ctx in ("left", "target") and isinstance(n.ctx, ast.Store):
+            kind = "list_pattern" if cls is ast.List else "tuple_pattern" if raw[s] == 40 else "pattern_list"
+        elif cls is ast.Tuple:
+            bare = n.elts and (raw[s] != 40 or self.span(n.elts[0])[0] == s or raw[e - 1] != 41)
             kind = "expression_list" if bare else "tuple"
-        elif cls == "UnaryOp":
+        elif cls is ast.UnaryOp:
             kind = "not_operator" if isinstance(n.op, ast.Not) else "unary_operator"
-        elif cls == "Compare":
-            name = COMPARE.get(type(n.ops[0]).__name__, "other") if len(n.ops) == 1 else "other"
-        elif cls == "Attribute":
-            name = n.attr
-        inside = "fstring" if kind == "string" else ctx
-        self.add(kind, role, name, span, ctx, top, [self._child(n, c, inside) for c in self._children(n)])
-
-    def _children(self, n):
-        flat, todo = [], list(ast.iter_child_nodes(n))
-        while todo:
-            c = todo.pop()
-            if isinstance(c, (ast.arguments, ast.comprehension)):
-                todo.extend(ast.iter_child_nodes(c))
-            elif hasattr(c, "lineno"):
-                flat.append(c)
-        return sorted(flat, key=lambda c: (c.lineno, c.col_offset))
-
-    def _child(self, parent, c, ctx):
-        if isinstance(c, ast.keyword):
+        elif cls is ast.Compare:
+            name = COMPARE.get(n.ops[0].__class__.__name__, "other") if len(n.ops) == 1 else "other"
+        return kind, name, "fstring" if kind == "string" else ctx
+
+    def part(self, c, role: str, ctx: str, top: int, up: int) -> None:
+        """A child that may be a keyword argument or a lambda parameter rather than an expression."""
+        if c.__class__ is ast.keyword:
             s, e = self.span(c)
-            if c.arg is None:
-                return lambda t: self.add("dictionary_splat", "argument", None, (s, e), ctx, t, [self.expr(c.value, "value", ctx)])
-            name = lambda t: self.add("identifier", "keyword", c.arg, (s, s + len(c.arg.encode())), ctx, t)
-            return lambda t: self.add("keyword_argument", "argument", None, (s, e), ctx, t, [name, self.expr(c.value, "value", ctx)])
-        if isinstance(c, ast.arg):
+            i = self.open("dictionary_splat" if c.arg is None else "keyword_argument", role, None, s, e, ctx, top, up)
+            if c.arg is not None:
+                self.open("identifier", "keyword", c.arg, s, s + len(c.arg.encode()), ctx, top, i)
+            self.expr(c.value, "value", ctx, top, i)
+            self.close(i)
+        elif c.__class__ is ast.arg:
             s = self.span(c)[0]
-            return lambda t: self.add("identifier", "lambda", c.arg, (s, s + len(c.arg.encode())), ctx, t)
-        role = "operand"
-        if isinstance(parent, ast.Call):
-            role = "object" if c is parent.func else "argument"
-        elif isinstance(parent, (ast.Attribute, ast.Subscript)):
-            role = "object" if c is parent.value else "index"
-        return self.expr(c, role, ctx)
+            self.open("identifier", "lambda", c.arg, s, s + len(c.arg.encode()), ctx, top, up)
+        else:
+            self.expr(c, role, ctx, top, up)
 
     # -- statements ----------------------------------------------------------------------------
-    def block(self, body, role: str):
+    def block(self, body, role: str, top: int, up: int) -> None:
         """``body`` holds parsed statements and ``(start, end)`` spans of unparseable ones."""
-        spans = [b if isinstance(b, tuple) else self.span(b) for b in body]
-        children = [(lambda b: lambda t: self.statement(b, -1 if role == "body_of_function" else t))(b) for b in body]
-        return lambda t: self.add("block", role, None, (spans[0][0], spans[-1][1]), role, t, children)
-
-    def leaf(self, kind, role, name, span, ctx):
-        return lambda t: self.add(kind, role, name, span, ctx, t)
+        ends = [b if isinstance(b, tuple) else self.span(b) for b in (body[0], body[-1])]
+        i = self.open("block", role, None, ends[0][0], ends[1][1], role, top, up)
+        for b in body:
+            self.statement(b, -1 if role == "body_of_function" else top, i)
+        self.close(i)
 
-    def statement(self, n, top: int, kind: str | None = None):
+    def statement(self, n, top: int, up: int, kind: str | None = None) -> None:
         if isinstance(n, tuple):
-            return self.add("ERROR", "statement", None, n, "statement", top)
-        cls = type(n).__name__
-        kind = kind or STATEMENT_KIND.get(cls, cls)
-        kids = []
-        if cls == "Expr":
+            self.open("ERROR", "statement", None, *n, "statement", top, up)
+            return
+        cls, (s, e) = n.__class__, self.span(n)
+        kind = kind or STATEMENT_KIND.get(cls.__name__, cls.__name__)
+        i = self.open(kind, "statement", None, s, e, "statement", top, up)
+        top = i if top < 0 else top
+        if cls is ast.Expr:
             v = n.value
             if isinstance(v, ast.Tuple) and v.elts and self.span(v.elts[0])[0] == self.span(v)[0]:
                 v = v.elts[0]  # an unparenthesised tuple statement exposes its first element only
-            kids = [self.expr(v, "value", "value")]
-        elif cls in ("Assign", "AnnAssign", "AugAssign"):
-            kids = [lambda t: self._assignment(n, t)]
-        elif cls == "Return":
-            kids = [self.expr(n.value, "value", "value")] if n.value is not None else []
-        elif cls == "Assert":
-            kids = [self.expr(n.test, "condition", "condition")]
-        elif cls == "If":
-            kids = [self.expr(n.test, "condition", "condition"), self.block(n.body, "consequence")]
+            self.expr(v, "value", "value", top, i)
+        elif cls in (ast.Assign, ast.AnnAssign, ast.AugAssign):
+            self.assignment(n, top, i, s, e)
+        elif cls is ast.Return:
+            if n.value is not None:
+                self.expr(n.value, "value", "value", top, i)
+        elif cls is ast.Assert:
+            self.expr(n.test, "condition", "condition", top, i)
+        elif cls is ast.If:
+            self.expr(n.test, "condition", "condition", top, i)
+            self.block(n.body, "consequence", top, i)
             if n.orelse:
                 first = n.orelse[0]
-                if len(n.orelse) == 1 and isinstance(first, ast.If) and self.lines.raw.startswith(b"elif", self.span(first)[0]):
-                    kids.append(lambda t: self.statement(first, t, "elif_clause"))
+                if len(n.orelse) == 1 and isinstance(first, ast.If) and self.raw.startswith(b"elif", self.span(first)[0]):
+                    self.statement(first, top, i, "elif_clause")
                 else:
-                    kids.append(self.block(n.orelse, "alternative"))
-        elif cls == "While":
-            kids = [self.expr(n.test, "condition", "condition"), self.block(n.body, "body")]
-        elif cls in ("For", "AsyncFor"):
-            kids = [self.expr(n.iter, "iterable", "iterable"), self.expr(n.target, "target", "target"), self.block(n.body, "body")]
-        self.add(kind, "statement", None, self.span(n), "statement", top, kids)
-
-    def _assignment(self, n, top: int):
-        targets = getattr(n, "targets", None) or [n.target]
-        kind = "augmented_assignment" if isinstance(n, ast.AugAssign) else "assignment"
-        kids = []
+                    self.block(n.orelse, "alternative", top, i)
+        elif cls is ast.While:
+            self.expr(n.test, "condition", "condition", top, i)
+            self.block(n.body, "body", top, i)
+        elif cls in (ast.For, ast.AsyncFor):
+            self.expr(n.iter, "iterable", "iterable", top, i)
+            self.expr(n.target, "target", "target", top, i)
+            self.block(n.body, "body", top, i)
+        self.close(i)
+
+    def assignment(self, n, top: int, up: int, s: int, e: int) -> None:
+        targets = n.targets if n.__class__ is ast.Assign else [n.target]
+        kind = "augmented_assignment" if n.__class__ is ast.AugAssign else "assignment"
+        i = self.open(kind, "value", self.annotation(getattr(n, "annotation", None)), s, e, "value", top, up)
         if len(targets) > 1:  # a = b = v binds only the first name; the rest is its value
-            rest = [self.expr(t, "chained", "right") for t in targets[1:]]
-            span = (self.span(targets[1])[0], self.span(n)[1])
-            kids.append(lambda t: self.add("assignment", "right", None, span, "right", t, rest + [self.expr(n.value, "value", "right")]))
+            j = self.open("assignment", "right", None, self.span(targets[1])[0], e, "right", top, i)
+            for t in targets[1:]:
+                self.expr(t, "chained", "right", top, j)
+            self.expr(n.value, "value", "right", top, j)
+            self.close(j)
         elif n.value is not None:
-            kids.append(self.expr(n.value, "right", "right"))
-        kids.append(self.expr(targets[0], "left", "left"))
-        self.add(kind, "value", self.annotation(getattr(n, "annotation", None)), self.span(n), "value", top, kids)
+            self.expr(n.value, "right", "right", top, i)
+        self.expr(targets[0], "left", "left", top, i)
+        self.close(i)
 
     def annotation(self, n) -> str | None:
-        return None if n is None else self.lines.raw[slice(*self.span(n))].decode("utf-8", "replace")
+        return None if n is None else self.raw[slice(*self.span(n))].decode("utf-8", "replace")
 
-    def parameters(self, a: ast.arguments):
+    def parameters(self, a: ast.arguments) -> None:
         plain = a.posonlyargs + a.args
         defaults = [None] * (len(plain) - len(a.defaults)) + list(a.defaults)
         rows = [(x, d, None) for x, d in zip(plain, defaults)] + [(x, d, None) for x, d in zip(a.kwonlyargs, a.kw_defaults)]
         rows += [(x, None, k) for x, k in ((a.vararg, "list_splat_pattern"), (a.kwarg, "dictionary_splat_pattern")) if x]
-        for x, default, splat in sorted(rows, key=lambda r: (r[0].lineno, r[0].col_offset)):
+        for x, default, splat in sorted(rows, key=lambda r: _place(r[0])):
             s = self.span(x)[0]
-            span = (s, s + len(x.arg.encode()))
-            kids = [] if splat and x.annotation else [self.leaf("identifier", "name", x.arg, span, "parameter")]
-            if default is not None:
-                bare_none = isinstance(default, ast.Constant) and default.value is None and not self._around(*self.span(default))
-                kids.append(self.leaf("none" if bare_none else "expression", "default", None, self.span(default), "default"))
+            e = s + len(x.arg.encode())
             kind = splat if splat and not x.annotation else {
                 (False, False): "parameter", (True, False): "typed_parameter",
                 (False, True): "default_parameter", (True, True): "typed_default_parameter",
             }[(x.annotation is not None, default is not None)]
-            self.parent = -1
-            self.add(kind, "parameter", self.annotation(x.annotation), span, "parameter", -1, kids)
+            i = self.open(kind, "parameter", self.annotation(x.annotation), s, e, "parameter", -1, -1)
+            if not (splat and x.annotation):
+                self.open("identifier", "name", x.arg, s, e, "parameter", i, i)
+            if default is not None:
+                ds, de = self.span(default)
+                bare_none = isinstance(default, ast.Constant) and default.value is None and not self.around(ds, de)
+                self.open("none" if bare_none else "expression", "default", None, ds, de, "default", i, i)
+            self.close(i)
+
+
+def _place(n: ast.AST) -> tuple[int, int]:
+    return n.lineno, n.col_offset
+
+
+def _parts(n: ast.AST) -> list[ast.AST]:
+    """Children with a place of their own, in source order."""
+    flat, todo = [], list(ast.iter_child_nodes(n))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, (ast.arguments, ast.comprehension)):
+            todo.extend(ast.iter_child_nodes(c))
+        elif hasattr(c, "lineno"):
+            flat.append(c)
+    return sorted(flat, key=_place)
 
 
 def _function(lines: _Lines, n, shift: int, body=None) -> dict:
     num = _Numberer(lines, shift)
     num.parameters(n.args)
-    num.parent = -1
-    num.block(body if body is not None else n.body, "body_of_function")(-1)
+    num.block(body if body is not None else n.body, "body_of_function", -1, -1)
     s, e = num.span(n)
     if body is not None:
         last = body[-1]

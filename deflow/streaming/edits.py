@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from deflow.operators.diff import diff
 from deflow.operators.facts import tapes
-from deflow.operators.solver import KEY, Solved, place, resume, solve
+from deflow.operators.solver import KEY, Solved, alone, place, resume, solve
 from deflow.session import cut
 from deflow.sources.code import parse_sources
 
@@ -90,7 +90,7 @@ class LiveAnalysis:
             return
         self._load()
         changed = cut(changed.select("ws", "uri", "text", "rev", "sha"))
-        fresh = cut(tapes(parse_sources(changed)))
+        fresh = cut(alone(tapes(parse_sources(changed))))
         fresh.write.mode("overwrite").parquet(self._path("functions", batch))
         changed.drop("text").write.mode("overwrite").parquet(self._path("files", batch))
         before = self._solved
