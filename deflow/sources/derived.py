@@ -29,7 +29,7 @@ CALLEE = "concat('f_', cast(cast(floor(l_orderkey / 2) AS bigint) AS {s}), '_',
 HELPER = "concat('f_', cast(cast(floor(l_orderkey / 3) AS bigint) AS {s}), '_', cast(l_linenumber AS {s}))"
 RECV = "CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'm.' ELSE 'a.' END"
 URI = ("concat(cast(l_orderkey AS {s}), '/', cast(l_linenumber AS {s}), '_', cast(l_partkey AS {s}), '_', "
-       "cast(l_suppkey AS {s}), '.py')")
+       "cast(l_suppkey AS {s}), '_', cast(cast(round(l_extendedprice * 100) AS bigint) AS {s}), '.py')")
 QUANTITY = "cast(l_quantity AS int)"
 EDITED = "(cast(l_quantity AS int) + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END)"
 
