@@ -436,7 +436,7 @@ def q_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("symbol_lines", """SELECT item_id, CASE WHEN p > 0 THEN strlen(substr(text, 1, p - 1)) END AS position,
   CASE WHEN p > 0 THEN 1 + length(substr(text, 1, p - 1)) - length(replace(substr(text, 1, p - 1), chr(10), '')) END AS line
-FROM (SELECT item_id, text, CASE WHEN regexp_matches(text, '\\bth\\b') THEN length(regexp_extract(text, '(?s)^(.*?)\\bth\\b', 1)) + 1 ELSE 0 END AS p FROM benchmark)""")
+FROM (SELECT item_id, text, CASE WHEN regexp_matches(text, '\\bthe\\b') THEN length(regexp_extract(text, '(?s)^(.*?)\\bthe\\b', 1)) + 1 ELSE 0 END AS p FROM benchmark)""")
 def q_symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First whole-word occurrence of a name as byte position and line."""
     b = table(spark, sf_dir, "benchmark").withColumn("symbol", F.lit("the"))
