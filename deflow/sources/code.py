@@ -19,10 +19,10 @@ cloudpickle.register_pickle_by_value(syntax)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NODE = ("struct<kind:string,role:string,name:string,s:int,e:int,ctx:string,top:int,up:int,"
-        "kids:array<int>,size:int>")
+        "kids:array<int>,size:int,slot:int>")
 FUNCTION_DDL = (f"ws string, uri string, fn int, func_name string, func_start int, func_end int, nodes array<{NODE}>")
 _TYPES = dict(kind=pa.string(), role=pa.string(), name=pa.string(), s=pa.int32(), e=pa.int32(), ctx=pa.string(),
-              top=pa.int32(), up=pa.int32(), kids=pa.list_(pa.int32()), size=pa.int32())
+              top=pa.int32(), up=pa.int32(), kids=pa.list_(pa.int32()), size=pa.int32(), slot=pa.int32())
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

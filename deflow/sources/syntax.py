@@ -52,7 +52,8 @@ class _Numberer:
     """Appends one list per syntax node of a single function (fields as in ``sources.code``)."""
 
     def __init__(self, lines: _Lines, shift: int):
-        self.raw, self.starts, self.shift, self.nodes = lines.raw, lines.starts, shift - 1, []
+        self.raw, self.starts, self.shift = lines.raw, lines.starts, shift - 1
+        self.nodes, self.slots = [], {}
 
     def span(self, n: ast.AST) -> tuple[int, int]:
         s, d = self.starts, self.shift
@@ -61,7 +62,8 @@ class _Numberer:
     def open(self, kind, role, name, s, e, ctx, top, up) -> int:
         nodes = self.nodes
         i = len(nodes)
-        nodes.append([kind, role, name, s, e, ctx, i if top < 0 else top, up, [], 1])
+        slot = self.slots.setdefault(name, len(self.slots)) if kind == "identifier" else -1
+        nodes.append([kind, role, name, s, e, ctx, i if top < 0 else top, up, [], 1, slot])
         if up >= 0:
             nodes[up][8].append(i)
         return i
