@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deflow.llm import langid, oracles, quality, tokenfile, urls
+from deflow.llm import langid, mixing, oracles, quality, tokenfile, urls
 from deflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "draws", "shards")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -38,5 +43,5 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op3_quality, op4_token_files, op7_language)}
+    f.__name__: f for f in (op1_url_filter, op2_mix, op3_quality, op4_token_files, op7_language)}
 ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter()}
