@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deflow.llm import common
-from deflow.llm.tokens import WordEncoder
+from deflow.llm.tokens import encoder
 
 MAGIC = b"DFTOKEN1"
 DICTIONARY = 65536      # bytes of the trained dictionary
@@ -139,17 +139,17 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: s
     share: Column = F.lit("all")
     sample = common.hash_sample(rows.withColumn("g", share), "g", F.xxhash64("k", "t"), TRAIN_ROWS).select(
         common.window_of(F.col("t"), F.col("k"), TRAIN_TEXT).alias("t")).collect()
-    encoder = WordEncoder(tokenizer_path)
-    dictionary = train(encoder.encode(sorted(r["t"] for r in sample)))
+    codec = encoder(tokenizer_path)
+    dictionary = train(codec.encode(sorted(r["t"] for r in sample)))
     system, path = place(folder)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/{hashlib.sha256(dictionary).hexdigest()}.zdict") as f:
         f.write(dictionary)
-    end = np.array([end_id], encoder.dtype).tobytes()
+    end = np.array([end_id], codec.dtype).tobytes()
     held = spark.sparkContext.broadcast(dictionary)  # DICTIONARY bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, name = WordEncoder(tokenizer_path), None, ""
+        enc, out = encoder(tokenizer_path), None
         part = TaskContext.get().partitionId()
         for b in common.batches_of(batches, 256):
             if out is None:

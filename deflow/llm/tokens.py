@@ -3,20 +3,45 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-_RUN = re.compile(r"\s\s")
+# White space other than blank and line feed, as regular expressions of tokenizers see it (and a little more).
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+_JOINED = re.compile(r"[\W_][.,](?:\s|\Z)")    # a stop that belongs to a run of other marks
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
-REMEMBERED = 1_500_000  # words kept by one worker (a few hundred bytes each at most); then it starts anew
+_WORD = re.compile(r" ?[^\W\d_]+").fullmatch
+REMEMBERED = 800_000    # words kept by one worker (a few hundred bytes each at most); then it starts anew
+
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class _Known(dict):
+    """Piece -> its ids as bytes; encodes a piece when it is first asked for."""
+
+    def __init__(self, tokenizer: Tokenizer, code: str):
+        super().__init__({"": b""})
+        self.whole, self.word, self.code = tokenizer.encode, tokenizer.model.tokenize, code
+
+    def __missing__(self, piece: str) -> bytes:
+        if _WORD(piece):    # one pre-token, so the model may have it as it is
+            ids = [t.id for t in self.word(piece.encode().decode("latin-1").translate(_SHOWN))]
+        else:
+            ids = self.whole(piece, add_special_tokens=False).ids
+        out = self[piece] = array(self.code, ids).tobytes()
+        return out
 
 
 class WordEncoder:
     """``encode`` gives the ids of whole texts as little-endian bytes.
 
-    A single blank between two visible characters always begins a new pre-token of a byte-level BPE, so a
-    text may be cut there; every different piece is encoded by the tokenizer once.
+    A byte-level BPE with the usual pre-tokens begins a new one at a single blank between visible characters, on
+    either side of a single line feed, and at a full stop or comma between a letter or digit and white space.
+    Texts are cut there, and every different piece is encoded by the tokenizer once.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -24,26 +49,39 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
+        self.known = _Known(self.tokenizer, "H" if self.dtype.itemsize == 2 else "I")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        known = self.words
-        cut = [x.replace(" ", "\x00 ").split("\x00") if not _RUN.search(x) and "\x00" not in x else _BREAK.split(x) for x in texts]
-        new = list({p for parts in cut for p in parts if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        if len(self.known) > REMEMBERED:
+            self.known = _Known(self.tokenizer, self.known.code)
+        known = self.known.__getitem__
+        return [b"".join(map(known, pieces(x))) for x in texts]
+
+
+def pieces(text: str) -> list[str]:
+    """``text`` cut where a pre-token begins in any case."""
+    if any(r in text for r in _RUNS) or _OTHER_SPACE.search(text):
+        return _BREAK.split(text)
+    cut = text.replace("\n", "\x00\n\x00")
+    if not _JOINED.search(text):
+        for stop in ".,":
+            cut = cut.replace(stop + " ", "\x00" + stop + " ").replace(stop + "\x00", "\x00" + stop + "\x00")
+    return cut.replace(" ", "\x00 ").split("\x00")
+
+
+_HELD: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+    """One encoder for each file and process, so that a worker's later tasks know the words of earlier ones."""
+    if (path, special_as_text) not in _HELD:
+        _HELD[path, special_as_text] = WordEncoder(path, special_as_text)
+    return _HELD[path, special_as_text]
 
 
 def byte_table(tokenizer: Tokenizer) -> list[bytes]:
     """The bytes each id of a byte-level vocabulary stands for."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    back = {c: b for b, c in _SHOWN.items()}
     out = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
         out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
