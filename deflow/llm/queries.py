@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deflow.llm import decontam, langid, mixing, oracles, quality, spans, tokenfile, urls
+from deflow.llm import decontam, langid, mixing, oracles, quality, setjoin, spans, tokenfile, urls
 from deflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs, keep=["doc_id"])
@@ -53,6 +57,6 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_mix, op3_quality, op4_token_files, op7_language,
+    f.__name__: f for f in (op1_url_filter, op2_mix, op3_quality, op4_token_files, op5_jaccard_join, op7_language,
                                  op9_decontamination, op10_sentence_spans)}
 ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter()}
