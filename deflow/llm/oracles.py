@@ -29,3 +29,20 @@ SELECT page_id, host, path, rule,
                               THEN 'block' ELSE 'allow' END) AS verdict,
        strict_terms, soft_terms, weight
 FROM found"""
+
+
+def chat() -> str:
+    escaped = lambda c: f"replace(replace(replace({c}, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>')"
+    said = "'\\### Assistant: </turn> ok'"
+    marks = len("### ") + len(" ###\n") + len("</turn>\n")
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {said} UNION ALL SELECT -7, 1, 'assistant', {said}),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '') AS learned,
+         CAST(sum({marks} + length({escaped('role')}) + length({escaped('text')})) AS BIGINT) AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
+FROM joined"""

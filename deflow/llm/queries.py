@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deflow.llm import decontam, langid, mixing, oracles, quality, setjoin, spans, tokenfile, urls
-from deflow.llm.common import table
+from deflow.llm import chat, decontam, langid, mixing, oracles, quality, setjoin, spans, tokenfile, urls
+from deflow.llm.common import table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,6 +40,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    formatted = written(chat.format_turns(turns.unionByName(more), TOKENIZER), "chat")
+    return chat.summaries(formatted, TOKENIZER)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs, keep=["doc_id"])
@@ -57,6 +65,6 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_mix, op3_quality, op4_token_files, op5_jaccard_join, op7_language,
+    f.__name__: f for f in (op1_url_filter, op2_mix, op3_quality, op4_token_files, op5_jaccard_join, op6_chat, op7_language,
                                  op9_decontamination, op10_sentence_spans)}
-ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter()}
+ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(), "op6_chat": oracles.chat()}
