@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deflow.llm import chat, decontam, langid, mixing, oracles, quality, setjoin, spans, tokenfile, urls
+from deflow.llm import chat, decontam, fingerprints, langid, mixing, oracles, quality, setjoin, spans, tokenfile, urls
 from deflow.llm.common import table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,6 +54,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "lang_ok")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents only: one row per document and item it contains."""
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,5 +70,5 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_mix, op3_quality, op4_token_files, op5_jaccard_join, op6_chat, op7_language,
-                                 op9_decontamination, op10_sentence_spans)}
+                                 op8_fingerprints, op9_decontamination, op10_sentence_spans)}
 ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(), "op6_chat": oracles.chat()}
