@@ -46,3 +46,23 @@ joined AS (
   FROM turns GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
 FROM joined"""
+
+
+def jaccard() -> str:
+    lower = f"'{urls._UPPER}', '{urls._LOWER}'"
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {lower}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+elements AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS e
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM elements GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM elements x JOIN elements y USING (e) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 80 * (s.n + t.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM words UNION SELECT x, b FROM reach JOIN edges ON a = y)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)"""

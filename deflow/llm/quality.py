@@ -59,11 +59,17 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[flo
     return float(w[0] / scale), float(w[1])
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> QualityModel | None:
-    """Learn from labelled rows: about ``2 * ROWS`` of each label at most, chosen by a hash of the key."""
-    rows = train.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.col(key).alias("k")).where(
-        F.col("t").isNotNull() & F.col("y").isin(0, 1))
-    sample = common.hash_sample(rows, "y", F.col("k"), 2 * ROWS).select(
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> QualityModel | None:
+    """Learn from the documents that ``labels`` (key and label) marks, about ``2 * ROWS`` of each label at most.
+
+    The labels are sampled by a hash of the key before they meet the documents, so the side that is broadcast
+    has a fixed size and only the sampled texts leave the scan.
+    """
+    marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
+    chosen = docs.sparkSession.createDataFrame(
+        common.hash_sample(marked, "y", F.col("k"), 2 * ROWS).collect(), marked.schema)
+    rows = docs.select(F.col(text).alias("t"), F.col(key).alias("k")).where("t IS NOT NULL").join(F.broadcast(chosen), "k")
+    sample = rows.select(
         "y", common.window_of(F.col("t"), F.col("k"), CURVE_TEXT).alias("t"),
         common.window_of(F.col("t"), F.col("k"), STRETCH, 1).alias("s"),
         (F.pmod(F.xxhash64("k", F.lit(7)), F.lit(2)) == 0).alias("first")).collect()

@@ -27,7 +27,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held = langid.held_out("doc_id", 3, 1)
-    model = quality.fit(docs.join(labels.where(~held), "doc_id"))
+    model = quality.fit(docs, labels.where(~held))
     out = quality.score(docs, model, keep=["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -71,4 +71,4 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_mix, op3_quality, op4_token_files, op5_jaccard_join, op6_chat, op7_language,
                                  op8_fingerprints, op9_decontamination, op10_sentence_spans)}
-ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(), "op6_chat": oracles.chat()}
+ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(), "op5_jaccard_join": oracles.jaccard(), "op6_chat": oracles.chat()}

@@ -127,12 +127,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     name = common.fresh(docs.columns, "_drop")
     lost = removals(docs, key, text).select(F.col(key).alias(f"{name}k"), F.col("sentences").alias(name))
     joined = docs.join(lost, docs[key].cast("long").eqNullSafe(lost[f"{name}k"]), "left").drop(f"{name}k")
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [t if t is None or not d else strike(t, set(d)) for t, d in zip(common.utf8(b.column(at)), b.column(b.num_columns - 1).to_pylist())]
             columns = [pa.array(new, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
