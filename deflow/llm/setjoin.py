@@ -13,7 +13,7 @@ start. Two sets are linked when ``100 * common >= 80 * union``.
    enough to compare them exactly.
 3. **Skips.** In a list, entries fall into blocks of equal set size and position. Two blocks are passed over
    when the smaller remainder behind their positions cannot hold the required overlap.
-4. **Derived answers.** Each list first compares all entries with one of them only. What a set has in common
+4. **Derived answers.** Each set is first compared with one entry only, which most of its lists choose alike. What a set has in common
    with that one bounds its overlap with every other entry of the list, from either side; pairs so decided,
    and pairs that are already connected, are not compared. The pairs left are compared exactly, all of
    them, so no link between components is lost. Nothing is emitted for all pairs of a group of copies.
@@ -278,7 +278,8 @@ def classes(sets: DataFrame) -> DataFrame:
         now = _rooted(lists, roots)
         middle = now.groupBy("h").agg(F.max_by(F.struct("ref", "n", "rest", "root"), F.xxhash64("ref", F.lit(turn))).alias("c"))
         pairs = now.join(middle, "h").where(f"root != c.root AND {_least('n', 'c.n')} <= least(rest, c.rest)")
-        found = common.written(compared(pairs.select(F.col("c.ref").alias("a"), F.col("ref").alias("b")).distinct(), sets), "compared")
+        one = pairs.groupBy("ref").agg(F.max_by("c.ref", F.xxhash64("c.ref", F.lit(turn))).alias("a"))   # most lists agree on it
+        found = common.written(compared(one.select("a", F.col("ref").alias("b")), sets), "compared")
         answers = middle.select("h", F.col("c.ref").alias("c")), found.select(F.col("a").alias("c"), F.col("b").alias("ref"), F.col("common").alias("got"))
         new = found.where(LINKED).select("a", "b")
         links = new if links is None else links.unionByName(new)
