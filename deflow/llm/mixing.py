@@ -122,9 +122,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     spark = docs.sparkSession
     keep = list(docs.columns) if keep is None else keep
-    p = {n: common.fresh(docs.columns, f"_{n}") for n in ("source", "size", "mark")}
-    rows = docs.select(
-        *[docs[c] for c in keep], docs[source].cast("string").alias(p["source"]),
+    p = {n: f"_{n}" for n in ("source", "size", "mark")}
+    rows = docs.select(     # kept columns have numbers for names until the end, so they meet no other
+        *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)], docs[source].cast("string").alias(p["source"]),
         F.coalesce(F.regexp_count(docs[text], F.lit(common.WORD)), F.lit(0)).cast("long").alias(p["size"]),
         F.xxhash64(docs[key], docs[text], F.lit(seed)).alias(p["mark"]))
     cell = F.shiftrightunsigned(F.col(p["mark"]), 64 - CELL_BITS)
@@ -192,7 +192,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     draws = F.expr("transform(sequence(1, _n), x -> cast(x - 1 AS long) * shiftleft(1L, bits) + _pos)")
     full = full.withColumn("_n", passes).withColumn("_draws", F.when(F.col("_n") > 0, draws).otherwise(F.array().cast("array<long>")))
     return full.select(
-        *[F.col(c) for c in keep], F.col(p["size"]).alias(names["size"]), F.col("words").alias(names["source_size"]),
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col(p["size"]).alias(names["size"]), F.col("words").alias(names["source_size"]),
         F.col("target").alias(names["target"]), (F.col(p["size"]) * F.col("_n")).alias(names["taken"]), F.col("_draws").alias(names["draws"]),
         shard_of(F.col("s"), F.col("_draws")).alias(names["shards"]),
         F.transform("_draws", lambda x: F.xxhash64(F.col(p["mark"]), x)).alias(names["ranks"]))
@@ -201,5 +201,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def assemble(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: one row per copy, shards in partitions, shuffled inside by rank."""
     draws, shards, ranks = mixed.columns[-3:]
-    rows = mixed.select(*columns, F.explode(F.arrays_zip(F.col(shards).alias("shard"), F.col(ranks).alias("rank"))).alias("_copy"))
-    return rows.repartition("_copy.shard").sortWithinPartitions("_copy.shard", "_copy.rank").select(*columns)
+    copy = common.fresh(columns, "_copy")
+    rows = mixed.select(*[mixed[c] for c in columns], F.explode(F.arrays_zip(F.col(shards).alias("shard"), F.col(ranks).alias("rank"))).alias(copy))
+    return rows.repartition(f"{copy}.shard").sortWithinPartitions(f"{copy}.shard", f"{copy}.rank").select(*columns)
