@@ -18,7 +18,7 @@ def lines(text: str) -> str:
 
 def modified_files(patch: str) -> Column:
     """Python files a diff modifies, in order, without deleted ones."""
-    return F.expr(f"""array_distinct(transform(filter(transform({lines(patch)}, (x, i) -> struct(x, get({lines(patch)}, i + 1) AS nxt)),
+    return F.expr(f"""array_distinct(transform(filter(transform(array({lines(patch)}), ln -> transform(ln, (x, i) -> struct(x, get(ln, i + 1) AS nxt)))[0],
         p -> startswith(p.x, '--- a/') AND p.x <> '--- a/dev/null' AND endswith(p.x, '.py')
              AND startswith(p.nxt, '+++ b/') AND p.nxt <> '+++ b/dev/null'), p -> substr(p.x, 7)))""")
 

@@ -168,12 +168,9 @@ def error_records(results: DataFrame) -> DataFrame:
 
 
 def out_of_scope(results: DataFrame, analyzable: DataFrame) -> DataFrame:
-    """Results outside the analysable set; nothing when that set is empty.
-
-    The emptiness test is one aggregated row, so it is safe to broadcast.
-    """
-    guard = F.broadcast(analyzable.agg((F.count(F.lit(1)) > 0).alias("known")))
-    return results.join(analyzable.select("instance_id").distinct(), "instance_id", "left_anti").join(guard).where("known").select("instance_id")
+    """Results outside the analysable set; nothing when that set is empty."""
+    known = analyzable.agg(F.count(F.lit(1)) > 0).scalar()
+    return results.join(analyzable.select("instance_id").distinct(), "instance_id", "left_anti").where(known).select("instance_id")
 
 
 def pair_arms(guided: DataFrame, ablation: DataFrame) -> DataFrame:
@@ -248,11 +245,14 @@ def match_expected(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def corpus_gate(cases: DataFrame) -> DataFrame:
-    """Corpus summary: expected, caught, fp_ok, witnesses, concrete, latency_ms per case."""
+    """Corpus summary: expected, caught, fp_ok, witnesses, concrete, latency_ms per case.
+
+    Without a measured latency the gate is null, unless another condition fails it.
+    """
     s = cases.agg(
         F.count(F.lit(1)).alias("n_cases"), F.sum("caught").alias("caught"), F.sum("expected").alias("expected"),
         count_if(~F.col("fp_ok")).alias("fp_cases"), F.sum("witnesses").alias("witnesses"), F.sum("concrete").alias("concrete"),
-        F.coalesce(F.avg(F.when(F.col("latency_ms") > 0, F.col("latency_ms"))), F.lit(0.0)).alias("avg_latency_ms"))
+        F.avg(F.when(F.col("latency_ms") > 0, F.col("latency_ms"))).alias("avg_latency_ms"))
     one = F.lit(1.0)
     s = s.select("*", F.coalesce(rate(F.col("caught"), F.col("expected")), one).alias("catch_rate"),
                  rate_or_zero(F.col("fp_cases"), F.col("n_cases")).alias("fp_rate"),

@@ -2,7 +2,7 @@
 
 A plain window puts a whole key in one task. Here the order is cut into segments: each segment is
 scanned on its own, one carry row per segment is scanned across segments, and the carry is joined
-back. When the largest key is small the segments collapse to one and the plain window is used.
+back. The plan is the same for keys of every size.
 """
 
 from __future__ import annotations
@@ -23,30 +23,23 @@ class Order:
     columns: list
 
 
-def segment_width(df: DataFrame, keys: list[str], position: Column, target_rows: int = TARGET_ROWS) -> int | None:
-    """Width in ``position`` units that keeps segments of the largest key near ``target_rows``.
+def segment_width(df: DataFrame, keys: list[str], position: Column, target_rows: int = TARGET_ROWS) -> int:
+    """Width in ``position`` units that keeps segments of the densest key near ``target_rows``.
 
-    ``None`` means no key exceeds the target. One aggregate with map-side combine.
+    A small key has one segment, by the same plan. One aggregate with map-side combine.
     """
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"))
-    widest = per_key.where(F.col("n") > target_rows).agg(
-        F.min((F.col("hi") - F.col("lo") + 1) * F.lit(target_rows) / F.col("n")).alias("w")).first()["w"]
-    return None if widest is None else max(1, int(widest))
+    widest = per_key.agg(F.min((F.col("hi") - F.col("lo") + 1) * F.lit(target_rows) / F.col("n")).alias("w")).first()["w"]
+    return max(1, int(widest or 1))
 
 
-def running(df: DataFrame, keys: list[str], order: Order, values: dict, width: int | None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: Order, values: dict, width: int) -> DataFrame:
     """Add running columns over rows strictly before the current one within ``keys``.
 
     ``values`` maps an output name to ``("sum", column)`` or ``("last", column)``; ``last`` skips nulls.
     """
     agg = {"sum": lambda c: F.sum(c), "last": lambda c: F.last(c, ignorenulls=True)}
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    if width is None:
-        w = before(Window.partitionBy(*keys).orderBy(*order.columns))
-        out = df
-        return out.select("*", *[
-            (F.coalesce(agg[k](c).over(w), F.lit(0)) if k == "sum" else agg[k](c).over(w)).alias(name)
-            for name, (k, c) in values.items()])
     d = df.withColumn("_seg", F.floor(order.position / F.lit(width)))
     w = before(Window.partitionBy(*keys, "_seg").orderBy(*order.columns))
     local = d.select("*", *[agg[k](c).over(w).alias(f"_l_{n}") for n, (k, c) in values.items()])

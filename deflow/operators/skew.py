@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 64          # a key is hot when it holds more than 1/64 of all rows ...
-HOT_FLOOR = 100_000     # ... and at least this many of them
+HOT_SHARE = 64      # a key is hot when it holds more than 1/64 of all rows
 
 
-def hot_keys(df: DataFrame, on: list[str], share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> list[tuple]:
+def hot_keys(df: DataFrame, on: list[str], share: int = HOT_SHARE) -> list[tuple]:
     """Keys holding more than ``1/share`` of ``df``: fewer than ``share`` of them can exist.
 
-    Counting combines map-side, so a hot key costs one partial row per task.
+    Counting combines map-side, so a hot key costs one partial row per task. A null matches nothing and is
+    no key.
     """
     counts = df.groupBy(*on).count()
-    big = counts.where(F.col("count") > floor)
-    rows = big.select(*on, "count").orderBy(F.desc("count")).limit(share).collect()
-    if not rows:
-        return []
+    rows = counts.dropna(subset=on).orderBy(F.desc("count")).limit(share).collect()
     total = df.count()
     return [tuple(r[k] for k in on) for r in rows if r["count"] > total / share]
 
@@ -31,8 +28,6 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
     """
     if hot is None:
         hot = hot_keys(left, on)
-    if not hot:
-        return left.join(right, on, how)
     keys = left.sparkSession.createDataFrame(hot, left.select(*on).schema)
     hot_right = right.join(F.broadcast(keys), on, "left_semi")
     is_hot = left.join(F.broadcast(keys), on, "left_semi")

@@ -49,8 +49,8 @@ def place(functions: DataFrame) -> DataFrame:
     return cut(ready.repartition(n, *KEY), keep_layout=True)
 
 
-def resolve(functions: DataFrame, scope: str, floor: int | None = None) -> tuple[DataFrame, list[tuple]]:
-    """Match call names with definitions.
+def definitions(functions: DataFrame, scope: str) -> DataFrame:
+    """What each name resolves to.
 
     Workspace scope: a name resolves only when defined exactly once in the workspace. File scope: only
     within the file, the last definition of a name giving its summary and the first its witness.
@@ -62,14 +62,19 @@ def resolve(functions: DataFrame, scope: str, floor: int | None = None) -> tuple
     defs = names.groupBy(*unit, "func_name").agg(F.count(F.lit(1)).alias("n"), first.alias("lo"), last.alias("hi"))
     if scope == "workspace":
         defs = defs.where("n = 1")
-    defs = defs.select(*unit, F.col("func_name").alias("callee"), F.col("hi.uri").alias("c_uri"),
+    return defs.select(*unit, F.col("func_name").alias("callee"), F.col("hi.uri").alias("c_uri"),
                        F.col("hi.fn").alias("c_fn"), F.col("hi.n_params").alias("c_params"), F.col("lo.fn").alias("t_fn"))
+
+
+def resolve(functions: DataFrame, scope: str) -> tuple[DataFrame, list[tuple]]:
+    """Match call names with definitions (see ``definitions``)."""
+    unit = ["ws"] if scope == "workspace" else ["ws", "uri"]
+    defs = definitions(functions, scope)
     calls = functions.select(*KEY, F.posexplode("callees").alias("slot", "callee"))
-    kw = {} if floor is None else {"floor": floor}
     # Builtins such as len() are called everywhere and defined nowhere: the hot-key path keeps them
     # from meeting in one task only to be dropped.
-    links = cut(lookup(calls, defs, unit + ["callee"], hot=hot_keys(calls, unit + ["callee"], **kw)))
-    return links, hot_keys(links, CALLEE, **kw)
+    links = cut(lookup(calls, defs, unit + ["callee"], hot=hot_keys(calls, unit + ["callee"])))
+    return links, hot_keys(links, CALLEE)
 
 
 def _callee_summaries(links: DataFrame, summaries: DataFrame, hot: list[tuple]) -> DataFrame:
@@ -149,11 +154,11 @@ def changed_links(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, cols, "left_anti").select(*KEY).unionByName(b.join(a, cols, "left_anti").select(*KEY)).distinct()
 
 
-def resume(functions: DataFrame, before: Solved, changed: DataFrame, scope: str = "workspace", floor: int | None = None) -> Solved:
+def resume(functions: DataFrame, before: Solved, changed: DataFrame, scope: str = "workspace") -> Solved:
     """Re-analyse after an edit. ``functions`` is the new state, ``changed`` the keys that are new,
     edited or gone. Only affected functions are folded again; everyone else keeps summary and contexts,
     so a change that leaves all summaries of a file as they were stops right there."""
-    links, hot = resolve(functions, scope, floor)
+    links, hot = resolve(functions, scope)
     start = changed.select(*KEY).unionByName(changed_links(before.links, links)).distinct()
     both = links.select(*KEY, *CALLEE[1:]).unionByName(before.links.select(*KEY, *CALLEE[1:])).distinct()
     todo = affected(cut(both), start, hot)
@@ -218,9 +223,9 @@ def finish(folded: DataFrame, links: DataFrame, current: DataFrame, hot: list[tu
     return Solved(folded, links, current, summaries, regressions, hot, rounds)
 
 
-def solve(functions: DataFrame, scope: str = "workspace", floor: int | None = None) -> Solved:
+def solve(functions: DataFrame, scope: str = "workspace") -> Solved:
     """Analyse placed ``functions`` (see ``place``) over whole workspaces or file by file."""
-    links, hot = resolve(functions, scope, floor)
+    links, hot = resolve(functions, scope)
     current, rounds = summarise(functions, links, hot)
     return finish(cut(fold_contexts(functions, links, current, hot), keep_layout=True), links, current, hot, rounds)
 

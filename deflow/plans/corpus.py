@@ -17,7 +17,8 @@ from deflow.sources.code import parse_sources
 def evaluate(specs: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per case: expected, caught, new regressions of the fixed version, witness quality.
 
-    ``texts`` has ``path`` as named in the specs and ``text``. Every case is two workspaces of its own,
+    ``texts`` has ``path`` as named in the specs (see ``records.relative_to``) and ``text``; a case whose files
+    have no text says so in ``error``. Latency is for the caller to measure. Every case is two workspaces of its own,
     ``id`` and ``id#fixed``, so equal function names in different cases cannot hide each other.
     """
     listed = specs.select("id", "primary_file", "fixed_files", F.explode("files").alias("f")).select(
@@ -27,8 +28,10 @@ def evaluate(specs: DataFrame, texts: DataFrame) -> DataFrame:
     repaired = listed.where(fixed.isNotNull()).select(
         F.concat("id", F.lit("#fixed")).alias("ws"), "uri",
         F.when(F.col("uri") == F.col("primary_file"), fixed).otherwise(F.col("uri")).alias("path"))
-    sources = broken.unionByName(repaired).join(texts, "path").select("ws", "uri", "text")
-    solved = solve(place(tapes(parse_sources(sources))))
+    found = broken.unionByName(repaired).join(texts.select("path", "text"), "path", "left")
+    lost = found.where("text IS NULL").groupBy(F.regexp_replace("ws", "#fixed$", "").alias("id")).agg(
+        F.array_join(F.array_sort(F.collect_set("path")), ", ").alias("lost"))
+    solved = solve(place(tapes(parse_sources(found.where("text IS NOT NULL").select("ws", "uri", "text")))))
     before = solved.regressions.where(~F.col("ws").endswith("#fixed"))
     after = solved.regressions.where(F.col("ws").endswith("#fixed")).withColumn("ws", F.regexp_replace("ws", "#fixed$", ""))
     has_fix = specs.where(fixed.isNotNull()).select(F.col("id").alias("ws"))
@@ -40,10 +43,11 @@ def evaluate(specs: DataFrame, texts: DataFrame) -> DataFrame:
         "case", "x.symbol", "x.kind", "dedup")
     caught = match_expected(expected, mine.select(F.col("ws").alias("case"), "symbol", "kind")).withColumnRenamed("case", "id")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return (specs.select("id", "name").join(caught, "id", "left").join(fresh, "id", "left").join(quality, "id", "left")
+    return (specs.select("id", "name").join(caught, "id", "left").join(fresh, "id", "left").join(quality, "id", "left").join(lost, "id", "left")
             .select("id", "name", zero("expected"), zero("caught"), zero("fp_new"), zero("witnesses"), zero("concrete"),
                     (F.coalesce("caught", F.lit(0)) >= F.coalesce("expected", F.lit(0))).alias("catch_ok"),
-                    (F.coalesce("fp_new", F.lit(0)) == 0).alias("fp_ok"), F.lit(0.0).alias("latency_ms")))
+                    (F.coalesce("fp_new", F.lit(0)) == 0).alias("fp_ok"), F.lit(None).cast("double").alias("latency_ms"),
+                    F.when(F.col("lost").isNotNull(), F.concat(F.lit("no text for "), "lost")).otherwise("").alias("error")))
 
 
 def sweep(sources: DataFrame) -> DataFrame:

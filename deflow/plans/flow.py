@@ -40,7 +40,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_facts(spark, sf_dir).withColumn("consumer", F.col("tag") == "consumer").withColumn("tag", tag)
 
 
-def _width(df: DataFrame) -> int | None:
+def _width(df: DataFrame) -> int:
     return segment_width(df, ["func"], event_order().position)
 
 

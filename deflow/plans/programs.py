@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from deflow.functions.lattice import value_name
 from deflow.operators import cfg, facts, reaching
 from deflow.operators.diff import blast_radius, diff
-from deflow.operators.shaping import consumers, findings, with_root
-from deflow.operators.solver import KEY, Solved, intraprocedural, place, reach, solve
+from deflow.operators.shaping import consumers, findings, placed_findings, with_root
+from deflow.operators.solver import KEY, Solved, definitions, intraprocedural, place, reach, solve
 from deflow.operators.witness import trim_witness, witnesses
 from deflow.plans.registry import query
 from deflow.session import cut
@@ -167,7 +167,7 @@ def q_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("program_unique_names", MODEL + " SELECT name AS func_name, uri FROM uq")
 def q_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that resolve: defined exactly once in the workspace."""
-    return placed(spark, sf_dir).groupBy("func_name").agg(F.count(F.lit(1)).alias("n"), F.min("uri").alias("uri")).where("n = 1").drop("n")
+    return definitions(placed(spark, sf_dir), "workspace").select(F.col("callee").alias("func_name"), F.col("c_uri").alias("uri"))
 
 
 @query("program_call_resolution", MODEL + """ SELECT uri, callee, c_uri AS target FROM f WHERE c_uri IS NOT NULL
@@ -212,7 +212,7 @@ SELECT uri, s AS symbol, p AS def_start, u AS use_start, 'Definite' AS confidenc
 @query("program_def_use", MODEL + _DEFS)
 def q_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Def-use edges; branches and broken statements are barriers, so uses behind them have none."""
-    return reaching.def_use_edges(facts.flow_facts(parsed(spark, sf_dir))).select(
+    return facts.def_use_edges(parsed(spark, sf_dir)).select(
         "uri", "symbol", F.col("def_node.start_byte").alias("def_start"), F.col("use_node.start_byte").alias("use_start"), "confidence")
 
 
@@ -220,7 +220,7 @@ def q_def_use(spark: SparkSession, sf_dir: str) -> DataFrame:
        "SELECT DISTINCT uri, u AS start_byte FROM u WHERE ok AND s = 'v'"))
 def q_program_value_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses reached by the definition of v, asked for by byte position in every module."""
-    edges = reaching.def_use_edges(facts.flow_facts(parsed(spark, sf_dir)))
+    edges = facts.def_use_edges(parsed(spark, sf_dir))
     asked = line_modules(spark, sf_dir).select("ws", "uri", (F.instr("text", "    v = ") + 3).cast("long").alias("position"))
     return reaching.value_flow(edges, asked, ["ws", "uri"], "forward").select("uri", "start_byte")
 
@@ -229,13 +229,14 @@ def q_program_value_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
   + CASE g WHEN 1 THEN 4 WHEN 2 THEN 5 WHEN 3 THEN 1 ELSE 0 END + 2 + (CASE WHEN helps THEN 2 ELSE 0 END) + 1 AS n_facts FROM src""")
 def q_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts and region markers per function."""
-    return facts.null_facts(placed(spark, sf_dir)).groupBy("uri").agg(F.count(F.lit(1)).alias("n_facts"))
+    return placed(spark, sf_dir).groupBy("uri").agg(F.sum(F.size("tape")).alias("n_facts"))
 
 
 @query("program_barriers", MODEL + """ SELECT uri, strpos(text, 'z v') - 1 AS start_byte, strpos(text, 'z v') + 2 AS end_byte FROM src WHERE broken""")
 def q_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unreadable statements inside functions: certainty is lost there, the rest of the file is kept."""
-    return facts.null_facts(placed(spark, sf_dir)).where("op = 'barrier'").select("uri", "start_byte", "end_byte")
+    marks = F.explode(F.filter("tape", lambda t: t["op"] == "barrier")).alias("t")
+    return placed(spark, sf_dir).select("uri", marks).select("uri", F.col("t.s").alias("start_byte"), F.col("t.e").alias("end_byte"))
 
 
 @query("program_file_unknowns", MODEL + " SELECT uri, 0 AS start_byte, 0 AS end_byte FROM src WHERE FALSE")
@@ -302,11 +303,13 @@ def q_finding_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("program_top_findings", MODEL + _PATHS + """, c AS (SELECT root_uri, root_symbol, count(*) AS n_consumers FROM wit GROUP BY root_uri, root_symbol)
-SELECT root_uri, root_symbol, n_consumers FROM c ORDER BY n_consumers DESC, root_uri, root_symbol LIMIT 20""")
+SELECT root_uri, root_symbol, n_consumers, rank() OVER (ORDER BY n_consumers DESC) AS place FROM c""")
 def q_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranked report: best confidence, then most consumers."""
-    f = q_findings(spark, sf_dir)
-    return f.orderBy(F.desc("n_consumers"), "root_uri", "root_symbol").limit(20).select("root_uri", "root_symbol", "n_consumers")
+    """The ranked report: best confidence, then most consumers; all findings, with their place.
+
+    Places are counted per (confidence, consumers) and summed up over those few levels.
+    """
+    return placed_findings(findings(with_root(reports(spark, sf_dir)), ["ws"])).select("root_uri", "root_symbol", "n_consumers", "place")
 
 
 _CHANGES = """, kb AS (SELECT *, row_number() OVER (PARTITION BY uri, func_name, symbol, kind ORDER BY start_byte, end_byte) AS o FROM regs),

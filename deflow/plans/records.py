@@ -13,7 +13,7 @@ from deflow.functions import patches
 from deflow.functions.annotations import annotation_nullability
 from deflow.operators import experiments as ex
 from deflow.plans.registry import query
-from deflow.sources.code import upsert_files
+from deflow.sources.code import content_hash, upsert_files
 from deflow.sources.derived import table
 from deflow.sources.records import anti_resume, seeded_order
 
@@ -376,6 +376,7 @@ def q_patch_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_patches(spark, sf_dir).select("doc_id", F.round(patches.patch_coverage("patch", "output"), 6).alias("coverage"))
 
 
+_N_LINES = "CASE WHEN text = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '(\\r\\n|\\n|\\r)\\z', ''), '\\r\\n|\\n|\\r')) END"
 _HUNKS = """, hk AS (SELECT doc_id, unnest(list_filter(pls, lambda x: regexp_matches(x, '^@@ -\\d+(,\\d+)? '))) AS h FROM pl),
 hr AS (SELECT doc_id, CAST(regexp_extract(h, '^@@ -(\\d+)', 1) AS INTEGER) AS s, CAST(regexp_extract(h, '^@@ -(\\d+)', 1) AS INTEGER)
   + CAST(regexp_extract(h, '^@@ -\\d+,(\\d+)', 1) AS INTEGER) - 1 AS e FROM hk)"""
@@ -387,12 +388,12 @@ def q_hunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("h.s").alias("first_line"), F.col("h.e").alias("last_line"))
 
 
-@query("hunk_merge", DOC + _HUNKS + """, pd AS (SELECT doc_id, greatest(1, s - 40) AS s, least(500, e + 40) AS e FROM hr),
+@query("hunk_merge", DOC + _HUNKS + """, pd AS (SELECT doc_id, greatest(1, s - 40) AS s, least(n, e + 40) AS e FROM hr JOIN (SELECT doc_id, """ + _N_LINES + """ AS n FROM dl) USING (doc_id)),
 mx AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM pd),
 gp AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM mx)
 SELECT doc_id, min(s) AS first_line, max(e) AS last_line FROM gp GROUP BY doc_id, g""")
 def q_hunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = patches.merged_sql(patches.hunks_sql("patch"), "500", "40")
+    m = patches.merged_sql(patches.hunks_sql("patch"), f"size({patches.lines('text')})", "40")
     return doc_patches(spark, sf_dir).select("doc_id", F.explode(F.expr(m)).alias("h")).select(
         "doc_id", F.col("h.s").alias("first_line"), F.col("h.e").alias("last_line"))
 
@@ -424,14 +425,15 @@ def q_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latest_upsert", """SELECT 'ws' AS ws, url AS uri, max_by(html, page_id) AS text, max(page_id) AS rev FROM pages GROUP BY url""")
 def q_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as file versions: the highest page id of a url wins."""
+    """Pages as file versions, the even ones registered before, the odd ones as edits: the highest page id of a url wins."""
     p = table(spark, sf_dir, "pages").select(F.lit("ws").alias("ws"), F.col("url").alias("uri"), F.col("html").alias("text"), F.col("page_id").alias("rev"))
-    return upsert_files(p.limit(0), p)
+    old = F.col("rev") % 2 == 0
+    return upsert_files(upsert_files(p.where(old).limit(0), p.where(old)), p.where(~old))
 
 
 @query("content_hashes", "SELECT page_id, md5(html) AS sha, regexp_replace(url, '[/\\\\]', '__', 'g') AS safe FROM pages")
 def q_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5("html").alias("sha"), patches.safe_name("url").alias("safe"))
+    return table(spark, sf_dir, "pages").select("page_id", content_hash("html").alias("sha"), patches.safe_name("url").alias("safe"))
 
 
 @query("symbol_lines", """SELECT item_id, CASE WHEN p > 0 THEN strlen(substr(text, 1, p - 1)) END AS position,

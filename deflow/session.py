@@ -68,9 +68,8 @@ def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over the cluster before expensive per-row work, when the input has fewer splits than cores.
+    """Hash rows over the cluster's shuffle partitions before per-row work that costs a hundred times the move.
 
-    Such an input is small by construction (a few file splits); anything larger stays where it was read.
+    Splits of the input follow file sizes, and the work per byte of source text does not.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n * 2, *keys) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -65,7 +66,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parse_sources(sources: DataFrame) -> DataFrame:
     """One row per root function (``fn`` >= 0) or unreadable root region (``fn`` < 0).
 
-    A narrow map: text goes in where it was read, function rows come out in the same task.
+    Text is dealt evenly once; function rows come out in the task that reads it.
     """
     return spread(sources.select("ws", "uri", "text"), "ws", "uri").mapInArrow(_parse, FUNCTION_DDL)
 
@@ -80,12 +81,16 @@ def file_unknowns(parsed: DataFrame) -> DataFrame:
 def read_python_tree(spark: SparkSession, root: str, ws: str = "ws", max_files: int | None = None) -> DataFrame:
     """``*.py`` files below ``root`` without hidden folders, ``node_modules`` and ``__pycache__``.
 
-    ``max_files`` is the repository listing's own bound (the first files by path); ``None`` reads all.
+    Only folders below ``root`` are looked at, wherever it lies. Bytes that are no UTF-8 become U+FFFD,
+    and ``valid`` tells. ``max_files`` is the repository listing's own bound (the first files by path); ``None`` reads all.
     """
+    place = re.sub(r"^[a-zA-Z][\w+.-]*:/*", "/", root).rstrip("/")
+    below = F.substr("path", F.instr(F.col("path"), place) + F.lit(len(place)))
     df = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-        .where(~F.col("path").rlike(r"/(\.[^/]+|node_modules|__pycache__)/"))
-        .select(F.lit(ws).alias("ws"), F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("text"))
+        .where(~below.rlike(r"/(\.[^/]+|node_modules|__pycache__)/"))
+        .select(F.lit(ws).alias("ws"), F.col("path").alias("uri"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+                F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
     )
     return df.orderBy("uri").limit(max_files) if max_files is not None else df
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -27,18 +29,21 @@ SPEC = """id string, name string, description string, analysis_note string, file
 
 
 def _read(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
-    """JSON with a fixed schema; a path that does not exist is an empty dataset."""
+    """JSON with a fixed schema; a path that does not exist is an error."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+
+def load_labeled(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled failures from JSON lines; blank lines are skipped and missing fields take their defaults.
+
+    A set that nobody has begun yet is empty: of all readers, only this one accepts a missing path.
+    """
     try:
-        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+        d = _read(spark, path, LABELED).where("instance_id IS NOT NULL")
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        return spark.createDataFrame([], schema)
-
-
-def load_labeled(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled failures from JSON lines; blank lines are skipped and missing fields take their defaults."""
-    d = _read(spark, path, LABELED).where("instance_id IS NOT NULL")
+        d = spark.createDataFrame([], LABELED)
     empty = F.array().cast("array<string>")
     d = d.fillna(LABELED_DEFAULTS)
     return d.withColumn("fail_to_pass", F.coalesce("fail_to_pass", empty)).withColumn("pass_to_pass", F.coalesce("pass_to_pass", empty)).withColumn(
@@ -88,7 +93,7 @@ def load_reports(spark: SparkSession, folder: str, pattern: str = "report.json")
 
     A report is keyed by instance; when the key is missing its first value counts.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
     d = raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("instance_id"),
                    F.from_json("value", REPORT).alias("m"), F.get_json_object("value", "$").isNull().alias("bad"))
     inst = F.coalesce(F.expr("m[instance_id]"), F.expr("get(map_values(m), 0)"))
@@ -110,8 +115,10 @@ def latest_run(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame
     return newest.join(manifest, "arm", "left").select("arm", F.coalesce("run_id", "newest").alias("run_id"))
 
 
-def load_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, SESSION, True)
+def load_sessions(spark: SparkSession, folder: str, total: str = "total_ms") -> DataFrame:
+    """Session logs; ``total`` is the name that the logs give to the summed latency."""
+    d = _read(spark, folder, SESSION.replace("total_ms", f"`{total}`"), True)
+    return d.withColumnRenamed(total, "total_ms")
 
 
 def fired(sessions: DataFrame) -> DataFrame:
@@ -125,10 +132,16 @@ def load_specs(spark: SparkSession, folder: str) -> DataFrame:
 
 def load_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Whole files as ``path, text``."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", "true").text(folder).select(
+    return spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def relative_to(texts: DataFrame, folder: str) -> DataFrame:
+    """``texts`` with paths below ``folder``, as specs name them, instead of whole addresses."""
+    place = re.sub(r"^[a-zA-Z][\w+.-]*:/*", "/", folder).rstrip("/") + "/"
+    return texts.withColumn("path", F.substr("path", F.instr(F.col("path"), place) + F.lit(len(place))))
+
+
 def string_list(column: str) -> Column:
     """A list that may arrive as JSON text."""
     return F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))

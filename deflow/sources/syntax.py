@@ -16,8 +16,9 @@ from __future__ import annotations
 import ast
 import keyword
 import re
+from bisect import bisect_left
 
-# Syntax-node names for Python's own node classes; anything absent keeps its class name.
+# Syntax-node names for Python's own node classes; anything absent keeps its class name.
 EXPRESSION_KIND = {
     "Name": "identifier", "Attribute": "attribute", "Subscript": "subscript", "Call": "call",
     "List": "list", "Set": "set", "Dict": "dictionary", "JoinedStr": "string", "TemplateStr": "string",
@@ -34,6 +35,12 @@ STATEMENT_KIND = {
 COMPARE = {"Is": "is", "IsNot": "is not", "Eq": "==", "NotEq": "!="}
 FAILURES = (SyntaxError, ValueError, RecursionError, MemoryError)
 CONTINUES = re.compile(rb"(else|elif|except|finally)\b|[)\]}#@]")
+# What matters for where a statement's line ends: strings, comments, brackets, line breaks.
+_MARKS = re.compile(rb"""(?P<long>\"\"\"|\'\'\')|(?P<short>["\'])|(?P<comment>\#[^\r\n]*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<skip>\\(?:\r\n|[\s\S]))|(?P<line>\r\n|\r|\n)""")
+_SHORT = {q: re.compile(rb"(?:[^" + q + rb"\\\r\n]|\\(?:\r\n|[\s\S]))*" + q) for q in (b'"', b"'")}
+_LONG = {q: re.compile(rb"(?:[^\\]|\\[\s\S])*?" + q) for q in (b'"""', b"'''")}
+# Words that begin a statement and never continue an expression: an open bracket before one was never closed.
+_BEGINS = re.compile(rb"[ \t]*(?:def|class|return|import|from|while|with|try|assert|raise|del|pass|break|continue|global|nonlocal)\b")
 
 
 class _Lines:
@@ -41,7 +48,27 @@ class _Lines:
 
     def __init__(self, raw: bytes):
         self.raw = raw
-        self.starts = [0] + [m.end() for m in re.finditer(rb"\r\n|\r|\n", raw)]
+        # A byte order mark is no part of the first line.
+        self.starts = [3 * raw.startswith(b"\xef\xbb\xbf")] + [m.end() for m in re.finditer(rb"\r\n|\r|\n", raw)]
+
+    def logical(self) -> list[bool]:
+        """For each line, whether it begins outside of brackets, strings and continued lines."""
+        raw, begins, depth, at, line = self.raw, [True] + [False] * (len(self.starts) - 1), 0, self.starts[0], 0
+        while m := _MARKS.search(raw, at):
+            at, kind = m.end(), m.lastgroup
+            if kind in ("long", "short"):
+                end = (_LONG if kind == "long" else _SHORT)[m.group()].match(raw, at)
+                at = end.end() if end else at   # a string that never ends is a stray quote
+            elif kind == "open":
+                depth += 1
+            elif kind == "close":
+                depth = max(0, depth - 1)
+            elif kind == "line":
+                line = bisect_left(self.starts, at, line)
+                if depth and _BEGINS.match(raw, at):
+                    depth = 0
+                begins[line] = depth == 0
+        return begins
 
     def text(self, first: int, last: int) -> bytes:
         end = self.starts[last] if last < len(self.starts) else len(self.raw)
@@ -72,8 +99,19 @@ class _Numberer:
         self.nodes[i][9] = len(self.nodes) - i
 
     # -- expressions ---------------------------------------------------------------------------
-    def around(self, s: int, e: int) -> tuple[int, int] | None:
-        """Span of the grouping parentheses directly around ``[s, e)``, if there are any."""
+    def before(self, at: int, lines: bool) -> int:
+        """Place of the last byte before ``at`` that is no white space; ``lines`` passes over line breaks as well."""
+        raw, a = self.raw, at - 1
+        while a >= 0 and (raw[a] in b" \t\x0c" or raw[a] in b"\r\n" and (lines or raw[a - 1:a] in (b"\\", b"\r")) or raw[a] == 92):
+            a -= 1
+        return a
+
+    def around(self, s: int, e: int, argument: bool = False) -> tuple[int, int] | None:
+        """Span of the grouping parentheses directly around ``[s, e)``, if there are any.
+
+        Parentheses behind a name, a literal or a closing bracket are a call's own. A line break may stand
+        between the two only inside brackets, and then what they hold is an ``argument``.
+        """
         raw, a, b = self.raw, s - 1, e
         while a >= 0 and raw[a] in b" \t\r\n\\":
             a -= 1
@@ -83,21 +121,26 @@ class _Numberer:
             b += 1
         if b >= len(raw) or raw[b] != 41:
             return None
-        before = re.search(rb"([\w\)\]\}'\"]+)[ \t]*$", raw[max(0, a - 80):a])
-        if before and not keyword.iskeyword(before.group(1).decode("utf-8", "replace")):
-            return None  # a call's own parentheses
+        last = self.before(a, argument)
+        first = last
+        while first >= 0 and (raw[first] == 95 or raw[first] >= 128 or raw[first:first + 1].isalnum()):
+            first -= 1
+        word = raw[first + 1:last + 1]
+        if (word and not keyword.iskeyword(word.decode("utf-8", "replace"))) or (not word and last >= 0 and raw[last] in b")]}'\""):
+            return None
         return a, b + 1
 
     def expr(self, n: ast.AST, role: str, ctx: str, top: int, up: int) -> None:
         """Number ``n``; grouping parentheses around it become nodes of their own."""
         s, e = self.span(n)
-        w = self.around(s, e) if s and self.raw[s - 1] in b"( \t\r\n" else None
+        argument = role == "argument"
+        w = self.around(s, e, argument) if s and self.raw[s - 1] in b"( \t\r\n" else None
         if w is None:
             return self.plain(n, role, ctx, top, up, s, e)
         wraps = []
         while w is not None:
             wraps.append(w)
-            w = self.around(*w)
+            w = self.around(*w, argument)
         opened = []
         for a, b in reversed(wraps):
             up = self.open("parenthesized_expression", role, None, a, b, ctx, top, up)
@@ -283,31 +326,34 @@ def _function(lines: _Lines, n, shift: int, body=None) -> dict:
     return {"name": n.name, "s": s, "e": e, "nodes": num.nodes}
 
 
-def _chunks(lines: _Lines, first: int, last: int, indent: int):
-    """Split lines ``[first, last)`` where a line starts at ``indent`` and does not continue the one before."""
+def _parse(data: bytes) -> ast.Module:
+    """Text, not bytes, so that a coding declaration cannot shift columns: the bytes are UTF-8 by now."""
+    return ast.parse(data.decode("utf-8", "surrogatepass"))
+
+
+def _chunks(lines: _Lines, logical: list[bool], first: int, last: int, indent: int):
+    """Split lines ``[first, last)`` where a statement starts at ``indent`` and does not continue the one before."""
     cuts = []
     for i in range(first, last):
         t = lines.text(i, i + 1)
         body = t.lstrip(b" \t")
-        if body.strip() and len(t) - len(body) <= indent and not CONTINUES.match(body):
-            decorated = cuts and lines.text(i - 1, i).lstrip().startswith(b"@")
-            if not decorated:
+        if not logical[i] or not body.strip() or len(t) - len(body) > indent:
+            continue
+        decorator = cuts and cuts[-1] == i - 1 and lines.text(i - 1, i).lstrip().startswith(b"@")
+        if body.startswith(b"@"):
+            if not decorator:
                 cuts.append(i)
-        elif body.startswith(b"@") and len(t) - len(body) <= indent and not (cuts and cuts[-1] == i - 1 and lines.text(i - 1, i).lstrip().startswith(b"@")):
+        elif not CONTINUES.match(body) and not (cuts and lines.text(i - 1, i).lstrip().startswith(b"@")):
             cuts.append(i)
     return list(zip(cuts, cuts[1:] + [last]))
 
 
-def _recover(lines: _Lines, first: int, last: int) -> dict | None:
+def _recover(lines: _Lines, logical: list[bool], first: int, last: int) -> dict | None:
     """A broken ``def``: keep its header if that parses and turn bad statements into ERROR spans."""
-    for stop in range(first + 1, min(last, first + 200) + 1):
-        head = lines.text(first, stop)
-        try:
-            n = ast.parse(head.rstrip() + b" pass").body[0]
-        except FAILURES:
-            continue
-        break
-    else:
+    stop = next((i for i in range(first + 1, last) if logical[i]), last)
+    try:
+        n = _parse(lines.text(first, stop).rstrip() + b" pass").body[0]
+    except FAILURES:
         return None
     shown = [i for i in range(stop, last) if lines.text(i, i + 1).strip()]
     if not shown:
@@ -315,10 +361,10 @@ def _recover(lines: _Lines, first: int, last: int) -> dict | None:
     t = lines.text(shown[0], shown[0] + 1)
     indent = len(t) - len(t.lstrip(b" \t"))
     body = []
-    for a, b in _chunks(lines, shown[0], last, indent):
+    for a, b in _chunks(lines, logical, shown[0], last, indent):
         raw = lines.text(a, b)
         try:
-            for s in ast.parse(b"if 1:\n" + raw).body[0].body:
+            for s in _parse(b"if 1:\n" + raw).body[0].body:
                 ast.increment_lineno(s, a - 1 - first)
                 body.append(s)
         except FAILURES:
@@ -339,16 +385,17 @@ def read_functions(text: str) -> tuple[list[dict], list[tuple[int, int]]]:
                 functions.append(_function(lines, n, shift))
 
     try:
-        take(ast.parse(raw), 0)
+        take(_parse(lines.text(0, len(lines.starts))), 0)
         return functions, errors
     except FAILURES:
         functions.clear()
-    for a, b in _chunks(lines, 0, len(lines.starts), 0):
+    logical = lines.logical()
+    for a, b in _chunks(lines, logical, 0, len(lines.starts), 0):
         part = lines.text(a, b)
         try:
-            take(ast.parse(part), a)
+            take(_parse(part), a)
         except FAILURES:
-            found = _recover(lines, a, b) if re.match(rb"(async[ \t]+)?def\b", part) else None
+            found = _recover(lines, logical, a, b) if re.match(rb"(async[ \t]+)?def\b", part) else None
             if found:
                 functions.append(found)
             elif not part.startswith(b"@"):

@@ -73,40 +73,58 @@ class LiveAnalysis:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def functions(self) -> DataFrame:
-        """Current tapes from the log: rows written by the newest batch of their file."""
-        files = self.spark.read.parquet(self._path("files"))
+    def _batches(self) -> list[int]:
+        """Batches that are complete, which the marker of their last write tells; one name per batch is listed."""
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self._path("findings"))
+        system = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(p):
+            return []
+        named = [x.getPath().getName() for x in system.listStatus(p)]
+        return sorted(b for b in (int(n.removeprefix("batch=")) for n in named if n.startswith("batch=")) if self._exists(self._path("findings", b) + "/_SUCCESS"))
+
+    def functions(self, batches: list[int]) -> DataFrame:
+        """Tapes as of these batches: rows written by the newest of them that has the file."""
+        files = self.spark.read.option("basePath", self._path("files")).parquet(*[self._path("files", b) for b in batches])
         newest = files.groupBy("ws", "uri").agg(F.max_by("batch", "rev").alias("batch"))
-        return self.spark.read.parquet(self._path("functions")).join(newest, ["ws", "uri", "batch"], "left_semi").drop("batch")
-
-    def _load(self) -> None:
-        if self._solved is None and self._exists(self._path("files")):
-            self._functions = place(self.functions())
+        tapes_ = self.spark.read.option("basePath", self._path("functions")).parquet(*[self._path("functions", b) for b in batches])
+        return tapes_.join(newest, ["ws", "uri", "batch"], "left_semi").drop("batch")
+
+    def _load(self, before: int | None = None) -> None:
+        """The state after all complete batches (below ``before``); what a stopped batch left behind is no part of it."""
+        batches = [b for b in self._batches() if before is None or b < before]
+        if self._solved is None and batches:
+            self._functions = place(self.functions(batches))
             self._solved = solve(self._functions)
 
     def apply(self, changed: DataFrame, batch: int) -> None:
-        """Commit all changed files, then analyse, then report against the state before."""
+        """Commit all changed files, then analyse, then report against the state before.
+
+        The batch counts from its last write on; until then a repetition starts from the batches before it,
+        and the state in memory stays as it was.
+        """
         if self._exists(self._path("findings", batch) + "/_SUCCESS"):
             return
-        self._load()
+        self._load(batch)
         changed = cut(changed.select("ws", "uri", "text", "rev", "sha"))
         fresh = cut(alone(tapes(parse_sources(changed))))
         fresh.write.mode("overwrite").parquet(self._path("functions", batch))
         changed.drop("text").write.mode("overwrite").parquet(self._path("files", batch))
         before = self._solved
         if before is None:
-            self._functions = place(fresh)
-            self._solved = solve(self._functions)
-            found = self._solved.regressions.select(F.lit("new").alias("change"), "ws", "uri", "func_name", "symbol", "kind", "start_byte", "end_byte")
+            functions = place(fresh)
+            solved = solve(functions)
+            found = solved.regressions.select(F.lit("new").alias("change"), "ws", "uri", "func_name", "symbol", "kind", "start_byte", "end_byte")
         else:
             touched = changed.select("ws", "uri")
             kept = self._functions.join(touched, ["ws", "uri"], "left_anti")
             keys = self._functions.join(touched, ["ws", "uri"], "left_semi").select(*KEY).unionByName(fresh.select(*KEY)).distinct()
-            self._functions = place(kept.unionByName(fresh))
-            self._solved = resume(self._functions, before, keys)
-            found = diff(before.regressions, self._solved.regressions).select(
+            functions = place(kept.unionByName(fresh))
+            solved = resume(functions, before, keys)
+            found = diff(before.regressions, solved.regressions).select(
                 "change", "ws", "uri", "func_name", "symbol", "kind", "start_byte", "end_byte")
         found.write.mode("overwrite").parquet(self._path("findings", batch))
+        self._functions, self._solved = functions, solved
 
     def start(self, edits: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         """Follow an edit stream; ``once`` processes what is there and stops."""

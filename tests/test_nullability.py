@@ -155,4 +155,28 @@ def test_unreadable_regions(sources, functions):
 
 def test_hot_callee_path_gives_the_same(functions, answers):
     """With a floor of zero every frequent name takes the broadcast path."""
-    assert found(solve(functions, floor=0).regressions) == answers
+    assert found(solve(functions).regressions) == answers
+
+
+READ = {
+    "a header of more than 200 lines": ("def f(" + ",\n".join(f"a{i}=None" for i in range(210)) + "):\n    a0.x\n    z z\n", ["a0"]),
+    "blanks before a call's parentheses": ("def g(q=None):\n    len" + " " * 90 + "(q.a)\n", ["q"]),
+    "a line break before a call's parentheses": ("def g(q=None):\n    len \\\n  (q.a)\n", ["q"]),
+    "text at the margin inside a string": ('def f(x=None):\n    """a\nb\n"""\n    x.a\ndef broken(:\n    pass\n', ["x"]),
+    "a bracket that is never closed": ("y = (1,\ndef f(x=None):\n    x.a\n", ["x"]),
+    "a coding declaration": ("# -*- coding: latin-1 -*-\ndef f(x=None):\n    s = 'é'; x.a\n", ["x"]),
+    "a byte order mark": ("\ufeffdef f(x=None):\n    x.a\n", ["x"]),
+    "a string that is never closed": ('s = "\ndef f(x=None):\n    x.a\n', ["x"]),
+}
+
+
+def test_reading_loses_no_code(spark):
+    """Every sound dereference is found at its place, whatever stands around it."""
+    names = list(READ)
+    src = spark.createDataFrame([("w", n, READ[n][0]) for n in names], "ws string, uri string, text string")
+    got = {}
+    for r in intraprocedural(place(tapes(parse_sources(src)))).collect():
+        text = READ[r["uri"]][0].encode()
+        assert text[r["start_byte"]:r["end_byte"]].decode() == f"{r['symbol']}.{text[r['end_byte'] - 1:r['end_byte']].decode()}"
+        got.setdefault(r["uri"], []).append(r["symbol"])
+    assert got == {n: READ[n][1] for n in names}

@@ -1,8 +1,11 @@
 import itertools
 import json
 import math
+import time
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from deflow.functions import lattice, patches
 from deflow.operators import experiments as ex
@@ -169,10 +172,20 @@ def test_golden_corpus(spark, tmp_path):
             "fixed_files": [{"role": "fixed", "path": f"{id_}/fixed.py"}], "expect_dedup": dedup,
             "expected_regressions": [{"func": "f", "symbol": s, "kind": k} for s, k in expected]}))
     texts = [(f"{id_}/{p}", t) for id_, _, files, *_ in CORPUS for p, t in files.items()] + [(f"{id_}/fixed.py", fixed) for id_, _, _, fixed, *_ in CORPUS]
-    cases = corpus.evaluate(records.load_specs(spark, str(tmp_path)), spark.createDataFrame(texts, "path string, text string")).cache()
-    assert all(r["catch_ok"] and r["fp_ok"] and r["concrete"] == r["witnesses"] for r in cases.collect())
+    for p, t in texts:      # as files, read back under the names that the specs use
+        (tmp_path / "texts" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "texts" / p).write_text(t)
+    folder = str(tmp_path / "texts")
+    found = records.relative_to(records.load_texts(spark, folder), folder)
+    assert {(r["path"], r["text"]) for r in found.collect()} == set(texts)
+    cases = corpus.evaluate(records.load_specs(spark, str(tmp_path / "*.json")), found).cache()
+    assert all(r["catch_ok"] and r["fp_ok"] and r["concrete"] == r["witnesses"] and r["error"] == "" for r in cases.collect())
     gate = ex.corpus_gate(cases).first()
-    assert (gate["caught"], gate["expected"], gate["passed"]) == (4, 4, True)
+    assert (gate["caught"], gate["expected"], gate["passed"]) == (4, 4, None)      # nobody measured the latency
+    timed = ex.corpus_gate(cases.withColumn("latency_ms", F.lit(12.0))).first()
+    assert timed["passed"] is True and ex.corpus_gate(cases.withColumn("latency_ms", F.lit(2500.0))).first()["passed"] is False
+    short = corpus.evaluate(records.load_specs(spark, str(tmp_path / "*.json")), found.where("path != '02/d.py'"))
+    assert {r["id"]: r["error"] for r in short.collect()} == {"01": "", "02": "no text for 02/d.py", "03": ""}
 
 
 def test_sweep(spark):
@@ -187,6 +200,23 @@ def test_python_tree(spark, tmp_path):
         (tmp_path / p).write_text("x = 1\n")
     df = read_python_tree(spark, str(tmp_path))
     assert sorted(r["uri"].rsplit("/", 1)[1] for r in df.collect()) == ["a.py", "b.py"]
+    (tmp_path / ".git" / "old.py").write_bytes("s = 'é'\nx.a\n".encode("latin-1"))
+    (row,) = read_python_tree(spark, f"file://{tmp_path}/.git/").where("uri like '%old.py'").collect()     # below a hidden folder
+    assert row["text"] == "s = '\ufffd'\nx.a\n" and row["valid"] is False
+
+
+def test_missing_paths(spark, tmp_path):
+    assert records.load_labeled(spark, str(tmp_path / "none")).count() == 0
+    for read in (records.load_feedback, records.load_pairs, records.load_sessions, records.load_specs):
+        with pytest.raises(AnalysisException):
+            read(spark, str(tmp_path / "none"))
+
+
+def test_patch_of_many_lines(spark):
+    patch = "\n".join(f"--- a/f{i}.py\n+++ b/f{i}.py" for i in range(2000))
+    t = time.perf_counter()
+    (row,) = spark.createDataFrame([(patch,)], "p string").select(patches.modified_files("p").alias("f")).collect()
+    assert row["f"] == [f"f{i}.py" for i in range(2000)] and time.perf_counter() - t < 10
 
 
 def test_undefined_rates_stay_null(spark):

@@ -37,8 +37,8 @@ def test_reaching_definitions_segmented(spark):
     order = Order(F.col("ts"), ["ts", "node"])
     width = segment_width(df, ["func"], F.col("ts"), target_rows=100)
     assert width is not None and width < 2000
-    assert segment_width(df, ["func"], F.col("ts")) is None
-    for w in (None, width, 50):
+    assert segment_width(df, ["func"], F.col("ts")) > 2000     # one segment, by the same plan
+    for w in (segment_width(df, ["func"], F.col("ts")), width, 50):
         got = {tuple(r) for r in reaching_defs(df, ["func"], order, F.col("node"), w).collect()}
         assert got == brute(rows)
 
@@ -77,7 +77,9 @@ def test_lookup_with_hot_keys(spark):
     rows = [("hot", i) for i in range(500)] + [("c%d" % (i % 100), i) for i in range(500)] + [("miss", 1)]
     left = spark.createDataFrame(rows, "k string, v int")
     right = spark.createDataFrame([("hot", 1)] + [("c%d" % i, i) for i in range(100)], "k string, w int")
-    assert hot_keys(left, ["k"], floor=10) == [("hot",)] and hot_keys(left, ["k"]) == []
-    for how in ("inner", "left"):
-        got = sorted(map(tuple, lookup(left, right, ["k"], how, [("hot",)]).collect()), key=repr)
+    assert hot_keys(left, ["k"]) == [("hot",)] and hot_keys(left.limit(0), ["k"]) == []
+    nulls = left.unionByName(spark.createDataFrame([(None, i) for i in range(900)], left.schema))
+    assert hot_keys(nulls, ["k"]) == [("hot",)]
+    for how, hot in (("inner", [("hot",)]), ("left", [("hot",)]), ("left", [])):
+        got = sorted(map(tuple, lookup(left, right, ["k"], how, hot).collect()), key=repr)
         assert got == sorted(map(tuple, left.join(right, "k", how).collect()), key=repr)

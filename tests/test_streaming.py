@@ -30,3 +30,27 @@ def test_stream_equals_batch(spark, tmp_path):
     src = spark.createDataFrame([("w", "a", A), ("w", "b", "def g():\n    return 1\n"), ("w", "c", "def h(q=None):\n    q[0]\n")], "ws string, uri string, text string")
     cols = ["ws", "uri", "fn", "symbol", "start_byte"]
     assert sorted(map(tuple, again.regressions().select(*cols).collect())) == sorted(map(tuple, solve(place(tapes(parse_sources(src)))).regressions.select(*cols).collect()))
+
+
+def test_stopped_batch_is_repeated(spark, tmp_path, monkeypatch):
+    """A batch that is stopped between its writes keeps its findings when it comes again."""
+    from deflow.streaming import edits
+
+    def batch(text, rev):
+        return spark.createDataFrame([("w", "a", text, rev, str(rev))], edits.CHANGED)
+
+    first, second = "def f(q):\n    q.a\n", "def f(q=None):\n    q.a\n"
+    live = LiveAnalysis(spark, str(tmp_path / "state"))
+    live.apply(batch(first, 1), 0)
+    with monkeypatch.context() as m:
+        m.setattr(edits, "resume", lambda *a: 1 / 0)
+        try:
+            live.apply(batch(second, 2), 1)
+        except ZeroDivisionError:
+            pass
+    assert live.regressions().count() == 0 and LiveAnalysis(spark, str(tmp_path / "state")).regressions().count() == 0
+    for who in (LiveAnalysis(spark, str(tmp_path / "state")), live):
+        who.apply(batch(second, 2), 1)
+        assert [(r["change"], r["symbol"]) for r in who.history().where("batch = 1").collect()] == [("new", "q")]
+    again = LiveAnalysis(spark, str(tmp_path / "state"))
+    assert [r["symbol"] for r in again.regressions().collect()] == ["q"]
