@@ -13,7 +13,7 @@ start. Two sets are linked when ``100 * common >= 80 * union``.
    enough to compare them exactly.
 3. **Skips.** In a list, entries fall into blocks of equal set size and position. Two blocks are passed over
    when the smaller remainder behind their positions cannot hold the required overlap.
-4. **Derived answers.** Each set is first compared with one entry only, which most of its lists choose alike. What a set has in common
+4. **Derived answers.** Each set is first compared with a few entries only, which most of its lists choose alike. What a set has in common
    with that one bounds its overlap with every other entry of the list, from either side; pairs so decided,
    and pairs that are already connected, are not compared. The pairs left are compared exactly, all of
    them, so no link between components is lost. Nothing is emitted for all pairs of a group of copies.
@@ -45,7 +45,8 @@ FLUSH = 4_000_000           # elements a task packs at a time: about 150 MB whil
 BUCKET = 2_000_000          # elements of a bucket
 LOCAL_HOT = 64              # sets of one packing that make an element hot
 HOT = np.uint32(0xFFFFFFFF)
-ROUNDS = 2                  # comparisons with one entry of each list before the exhaustive one
+ROUNDS = 2                  # of comparing each set with a few others before the exhaustive comparison
+PARTNERS = 3                # others in each round, besides the plainest one
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -166,7 +167,7 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             found = [(None, 0) if not len(s) else (np.uint64(name_of(s)).view(np.int64).item(), len(s)) for s in sets_of(common.utf8(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["k", "ref", "n"])
 
-    return docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "k long, ref long, n long")
+    return common.on_workers(docs).select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "k long, ref long, n long")
 
 
 def shared_elements(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -224,13 +225,17 @@ def shared_elements(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             "s": pa.array([r[1] for r in rows], pa.int64()), "elements": pa.array([np.sort(h[a:a + c]).tobytes() for a, c, _, _ in rows], pa.binary()),
             "head": pa.array([h[a:a + q].tobytes() for a, _, q, _ in rows], pa.binary())})
 
-    posts = docs.select(docs[text]).mapInArrow(posted, "bucket int, target int, blob binary")
+    posts = common.on_workers(docs).select(docs[text]).mapInArrow(posted, "bucket int, target int, blob binary")
     answers = posts.groupBy("bucket").applyInArrow(answered, "target int, blob binary")
     return answers.groupBy("target").applyInArrow(gathered, "ref long, n long, s long, elements binary, head binary")
 
 
 def entries(sets: DataFrame) -> DataFrame:
-    """h, ref, n, rest: the list entries of all prefixes; ``rest`` elements stand at or behind the entry's position."""
+    """h, ref, n, rest, plain: the list entries of all prefixes; ``rest`` elements stand at or behind the entry's position.
+
+    ``plain`` is the share of the set's elements that other sets have: of a family of edited copies, the
+    original has the highest, and is alike to more of them than any other.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             heads = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
@@ -238,9 +243,11 @@ def entries(sets: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(count)), count))
             place = np.concatenate([np.arange(c) for c in count] + [np.zeros(0, np.int64)])
             s = b.column(2).take(at).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads + [np.zeros(0, np.int64)])), b.column(0).take(at), b.column(1).take(at), pa.array(s - place)], names=["h", "ref", "n", "rest"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(heads + [np.zeros(0, np.int64)])), b.column(0).take(at), b.column(1).take(at), pa.array(s - place),
+                 pa.array(s / b.column(1).take(at).to_numpy(zero_copy_only=False))], names=["h", "ref", "n", "rest", "plain"])
 
-    lists = sets.select("ref", "n", "s", "head").mapInArrow(run, "h long, ref long, n long, rest long")
+    lists = common.on_workers(sets).select("ref", "n", "s", "head").mapInArrow(run, "h long, ref long, n long, rest long, plain double")
     return lists
 
 
@@ -260,7 +267,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
             yield common.carry(b, ["a", "b", "an", "bn"], common=pa.array(both, pa.int64()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "an", "bn", "ae", "be").mapInArrow(run, "a long, b long, an long, bn long, common long")
+    return common.on_workers(pairs).join(x, "a").join(y, "b").select("a", "b", "an", "bn", "ae", "be").mapInArrow(run, "a long, b long, an long, bn long, common long")
 
 
 LINKED = f"{WHOLE} * common >= {PART} * (an + bn - common)"
@@ -276,11 +283,18 @@ def classes(sets: DataFrame) -> DataFrame:
     links, answers = None, None
     for turn in range(ROUNDS):
         now = _rooted(lists, roots)
-        middle = now.groupBy("h").agg(F.max_by(F.struct("ref", "n", "rest", "root"), F.xxhash64("ref", F.lit(turn))).alias("c"))
+        mark = F.xxhash64("ref", F.lit(turn))
+        slot = F.explode(F.array(F.lit(0), F.pmod(mark, F.lit(PARTNERS)).cast("int") + 1)).alias("slot")
+        weight = F.when(F.col("slot") == 0, F.col("plain")).otherwise(0)
+        middle = now.select("*", slot).groupBy("h", "slot").agg(F.max_by(F.struct("ref", "n", "rest", "root", "plain"), F.struct(weight, mark)).alias("c"))
         pairs = now.join(middle, "h").where(f"root != c.root AND {_least('n', 'c.n')} <= least(rest, c.rest)")
-        one = pairs.groupBy("ref").agg(F.max_by("c.ref", F.xxhash64("c.ref", F.lit(turn))).alias("a"))   # most lists agree on it
-        found = common.written(compared(one.select("a", F.col("ref").alias("b")), sets), "compared")
-        answers = middle.select("h", F.col("c.ref").alias("c")), found.select(F.col("a").alias("c"), F.col("b").alias("ref"), F.col("common").alias("got"))
+        rank = F.struct(F.when(F.col("slot") == 0, F.col("c.plain")).otherwise(0), F.xxhash64("c.ref", F.lit(turn)))
+        few = pairs.groupBy("ref", "slot").agg(F.max_by("c.ref", rank).alias("a"))     # most of its lists agree on it
+        few = few.select(F.least("a", "ref").alias("a"), F.greatest("a", "ref").alias("b")).distinct()
+        found = common.written(compared(few, sets), "compared")
+        both = found.select(F.col("a").alias("c"), F.col("b").alias("ref"), F.col("common").alias("got")).unionByName(
+            found.select(F.col("b").alias("c"), F.col("a").alias("ref"), F.col("common").alias("got")))
+        answers = middle.where("slot = 0").select("h", F.col("c.ref").alias("c")), both
         new = found.where(LINKED).select("a", "b")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
@@ -298,12 +312,14 @@ def classes(sets: DataFrame) -> DataFrame:
     pairs = near.drop("lo1", "hi1", "lo2", "hi2").join(one, ["h", "n1", "rest1"]).join(two, ["h", "n2", "rest2"]).where(
         f"root1 != root2 AND (got1 IS NULL OR got2 IS NULL OR {most} >= {_least('n1', 'n2')})")
     pairs = pairs.select(F.least("ref1", "ref2").alias("a"), F.greatest("ref1", "ref2").alias("b")).distinct()
-    links = links.unionByName(compared(pairs, sets).where(LINKED).select("a", "b"))
-    return components(links).withColumnRenamed("node", "ref")
+    late = compared(pairs, sets).where(LINKED).select("a", "b")
+    for c in ("a", "b"):    # between components: a link of theirs is needed once
+        late = late.join(roots, late[c] == roots["node"], "left").withColumn(c, F.coalesce("root", c)).select("a", "b")
+    return components(links.unionByName(late.distinct())).withColumnRenamed("node", "ref")
 
 
 def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    return lists.join(roots, lists["ref"] == roots["node"], "left").select("h", "ref", "n", "rest", F.coalesce("root", "ref").alias("root"))
+    return lists.join(roots, lists["ref"] == roots["node"], "left").select("h", "ref", "n", "rest", "plain", F.coalesce("root", "ref").alias("root"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
