@@ -66,7 +66,7 @@ def format_turns(turns: DataFrame, tokenizer_path: str, conversation: str = "con
 
     rows = turns.select(turns[conversation].cast("long").alias("c"), turns[turn].cast("long").alias("turn"),
                         F.xxhash64(turns[role], turns[text]).alias("tie"), turns[role].alias("role"), turns[text].alias("text"))
-    made = rows.mapInArrow(run, "c long, turn long, tie long, input_ids array<int>, loss_mask array<byte>")
+    made = common.on_workers(rows).mapInArrow(run, "c long, turn long, tie long, input_ids array<int>, loss_mask array<byte>")
     before = Window.partitionBy("c").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.size("input_ids")
     return made.select(F.col("c").alias("conv_id"), "turn", (F.sum(size).over(before) - size).alias("start"), "input_ids", "loss_mask")
@@ -123,4 +123,4 @@ def summaries(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(key, state), types)], names=names)
 
     rows = formatted.select("conv_id", "start", "input_ids", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "start")
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return common.on_workers(rows).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

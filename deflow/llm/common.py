@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +14,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import deflow
 from deflow.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def on_workers(df: DataFrame) -> DataFrame:
+    """``df``, after Spark has been given this package for its Python workers, once for each application.
+
+    The driver serves the archive, so executors need neither an installed copy nor a folder in common.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(deflow.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="deflow-")) / "deflow.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,7 +158,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), shape)], schema=shape)
 
-        part = source.mapInArrow(run, schema)
+        part = common.on_workers(source).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -165,16 +166,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
           coverage: float = COVERAGE) -> DataFrame:
     """The documents that contain no item, with their columns; no join, one pass per block."""
-    at = docs.columns.index(text)
+    common.on_workers(docs)
     for block in blocks(benchmark, item_key, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.where(_free_of(docs.sparkSession.sparkContext.broadcast(block), coverage)(docs[text]))
+    return docs
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = common.utf8(b.column(at))
-                free = [not f for x, y in portions(texts) for f in contained(split(texts[x:y]), held.value, coverage)]
-                yield b.filter(pa.array(free, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def _free_of(held: Broadcast, coverage: float):
+    """A filter on texts; only they go to Python."""
+    @F.arrow_udf("boolean")
+    def free(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            texts = common.utf8(b)
+            yield pa.array([not f for x, y in portions(texts) for f in contained(split(texts[x:y]), held.value, coverage)], pa.bool_())
 
+    return free

@@ -19,7 +19,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from deflow.llm import common
 from deflow.llm.zdict import Sizer, dictionary
@@ -68,15 +67,15 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
     keep = list(docs.columns) if keep is None else keep
     names = {n: common.fresh(keep, n) for n in ("lang_pred", "score", "lang_ok")}
     languages = model.languages
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias(common.fresh(keep, "_text")))
-    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField(names["lang_pred"], T.StringType()),
-                           T.StructField(names["score"], T.DoubleType()), T.StructField(names["lang_ok"], T.BooleanType())])
+    common.on_workers(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("pred string, score double, good boolean")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizer = Sizer(list(model.dictionaries), LEVEL)
-        for b in common.batches_of(batches, 512):
+        for texts in batches:
             pred, score, good = [], [], []
-            for t in b.column(len(keep)).to_pylist():
+            for t in texts:     # one text at a time leaves the batch
+                t = t.as_py()
                 if t is None or not languages or not _LETTER.search(t):
                     pred.append(UNKNOWN), score.append(0.0), good.append(False)
                     continue
@@ -85,11 +84,13 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
                 best = sizes[order[0]]
                 gap = 1.0 if len(order) == 1 else float((sizes[order[1]] - best) / sizes[order[1]])
                 pred.append(languages[order[0]]), score.append(gap), good.append(gap >= margin)
-            yield common.carry(b, keep, **{names["lang_pred"]: pa.array(pred, pa.string()),
-                                           names["score"]: pa.array(score, pa.float64()),
-                                           names["lang_ok"]: pa.array(good, pa.bool_())})
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(good, pa.bool_())], names=["pred", "score", "good"])
 
-    return source.mapInArrow(run, schema)
+    # Only texts go to Python; what is kept stays in the JVM. Marked so that a filter is not evaluated anew.
+    made = common.fresh(docs.columns, "_lang")
+    found = docs.withColumn(made, judge.asNondeterministic()(docs[text]))
+    parts = {"lang_pred": "pred", "score": "score", "lang_ok": "good"}
+    return found.select(*keep, *[F.col(made)[f].alias(names[n]) for n, f in parts.items()])
 
 
 def held_out(key: str, folds: int, fold: int) -> Column:

@@ -120,7 +120,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ``draws`` are the positions of its copies in its source's sequence, ``shards`` where each copy goes and
     ``ranks`` its place there; a document that is left out has none.
     """
-    spark = docs.sparkSession
+    spark = common.on_workers(docs).sparkSession
     keep = list(docs.columns) if keep is None else keep
     p = {n: f"_{n}" for n in ("source", "size", "mark")}
     rows = docs.select(     # kept columns have numbers for names until the end, so they meet no other

@@ -101,4 +101,4 @@ def score(docs: DataFrame, model: QualityModel | None, text: str = "text", keep:
             p = 1 / (1 + np.exp(-np.clip(model.slope * d + model.offset, -40, 40)))
             yield common.carry(b, keep, **{name: pa.array(p, pa.float64())})
 
-    return source.mapInArrow(run, schema)
+    return common.on_workers(source).mapInArrow(run, schema)

@@ -91,7 +91,7 @@ def places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), b.column(0).slice(x, y - x).take(pa.array(text)), pa.array(at), pa.array(width)], names=["span", "k", "at", "width"])
 
-    return source.mapInArrow(run, "span long, k long, at int, width int")
+    return common.on_workers(source).mapInArrow(run, "span long, k long, at int, width int")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,4 +135,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             columns = [pa.array(new, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return common.on_workers(joined).mapInArrow(run, docs.schema)

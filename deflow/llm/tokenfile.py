@@ -164,7 +164,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: s
                 names=["part", "file", "documents", "tokens"])
 
     dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
-    dealt.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    common.on_workers(dealt).mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
@@ -190,7 +190,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         [pa.array(r.keys[at:last], pa.int64()), pa.array(start + r.tokens[at:last]), pa.array(np.diff(r.tokens[at:last + 1])), pa.array(ids, pa.binary())],
                         names=["key", "start", "n_tokens", "ids"])
 
-    return starts.select("file", "start").repartition(files, "file").mapInArrow(run, "key long, start long, n_tokens long, ids binary")
+    return common.on_workers(starts).select("file", "start").repartition(files, "file").mapInArrow(run, "key long, start long, n_tokens long, ids binary")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:

@@ -128,4 +128,4 @@ def judge(pages: DataFrame, url: str = "url", keep: list[str] | None = None, rul
                 fit_rule: pa.array(rule_, pa.string()), verdict: pa.array(verdict_, pa.string()),
                 strict_c: pa.array(strict_, words), soft_c: pa.array(soft_, words), weight_c: pa.array(weight_, pa.float64())})
 
-    return source.mapInArrow(run, schema)
+    return common.on_workers(source).mapInArrow(run, schema)
