@@ -20,15 +20,23 @@ from deflow.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 500
+DEFAULT_ROWS = "10000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def on_workers(df: DataFrame) -> DataFrame:
     """``df``, after Spark has been given this package for its Python workers, once for each application.
 
-    The driver serves the archive, so executors need neither an installed copy nor a folder in common.
+    The driver serves the archive, so executors need neither an installed copy nor a folder in common. Spark
+    counts rows, not bytes, for what it sends to Python at once; rows hold whole texts here, so a session that
+    still has the default gets ``BATCH_ROWS``.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if spark.conf.get(_BATCH, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId not in _SHIPPED:
         root = Path(deflow.__file__).parent
         archive = Path(tempfile.mkdtemp(prefix="deflow-")) / "deflow.zip"

@@ -41,7 +41,7 @@ from deflow.llm.words import portions, split
 
 WIDTH = 5
 PART, WHOLE = 80, 100       # linked when WHOLE * common >= PART * union
-FLUSH = 4_000_000           # elements a task packs at a time: about 150 MB while it sorts
+FLUSH = 2_000_000           # elements a task packs at a time: about 80 MB while it sorts
 BUCKET = 2_000_000          # elements of a bucket
 LOCAL_HOT = 64              # sets of one packing that make an element hot
 HOT = np.uint32(0xFFFFFFFF)
