@@ -6,24 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_ENDS = "array<struct<s:int,e:int,kind:string>>"
+_EDGES = "array<struct<as:int,ae:int,bs:int,be:int,kind:string>>"
+
+
+def _edges_sql() -> str:
+    """Fold over the tape. ``ends`` are the nodes whose next one is not known yet, each with the kind of the
+    edge that leaves it; ``open`` holds the regions around, with the exits of an arm that is already over."""
+    to = lambda s, e, kind="x.kind": f"transform(a.ends, x -> struct(x.s AS as, x.e AS ae, {s} AS bs, {e} AS be, {kind} AS kind))"
+    none = f"cast(array() AS {_ENDS})"
+    one = lambda s, e, kind: f"array(struct({s} AS s, {e} AS e, '{kind}' AS kind))"
+    state = lambda ends, open_, out: f"named_struct('ends', {ends}, 'open', {open_}, 'out', {out})"
+    top, under = "a.open[size(a.open) - 1]", "slice(a.open, 1, size(a.open) - 1)"
+    region = "array(struct(t.s AS s, t.e AS e, {exits} AS exits))"
+    step = f"""CASE
+        WHEN t.op IN ('if', 'loop') THEN {state(one('t.s', 't.e', 'TrueBranch'), f"concat(a.open, {region.format(exits=none)})", f"concat(a.out, {to('t.s', 't.e')})")}
+        WHEN t.op = 'else' THEN {state(one(f'{top}.s', f'{top}.e', 'FalseBranch'), f"concat({under}, array(struct({top}.s AS s, {top}.e AS e, a.ends AS exits)))", 'a.out')}
+        WHEN t.op = 'endif' THEN {state(f'concat({top}.exits, a.ends)', under, 'a.out')}
+        WHEN t.op = 'endloop' THEN {state(one(f'{top}.s', f'{top}.e', 'FalseBranch'), under, f"concat(a.out, {to(f'{top}.s', f'{top}.e', chr(39) + 'LoopBack' + chr(39))})")}
+        WHEN t.op = 'barrier' THEN {state(one('t.s', 't.e', 'Seq'), 'a.open', f"concat(a.out, {to('t.s', 't.e', chr(39) + 'Exception' + chr(39))})")}
+        ELSE {state(one('t.s', 't.e', 'Seq'), 'a.open', f"concat(a.out, {to('t.s', 't.e')})")} END"""
+    start = state(none, f"cast(array() AS array<struct<s:int,e:int,exits:{_ENDS}>>)", f"cast(array() AS {_EDGES})")
+    return f"aggregate(tape, {start}, (a, t) -> {step}, a -> a.out)"
+
+
 def cfg_edges(functions: DataFrame) -> DataFrame:
-    """Edges between consecutive tape elements of a function.
+    """Control-flow edges between the facts of a function, found inside its row.
 
-    An ``if`` or ``loop`` marker leads to its region on the true side; an ``else`` marker is entered on
-    the false side; a loop's end leads back; a barrier is entered exceptionally; the rest is sequence.
+    A condition leads to the first fact of either arm, or behind the statement where an arm has none; both
+    arms lead on behind it. A loop's last facts lead back to its condition, and that leads behind the loop.
+    A barrier is entered exceptionally; the rest is sequence.
     """
-    pairs = F.expr("""transform(filter(sequence(1, size(tape)), j -> j < size(tape)), j -> struct(
-        tape[j - 1] AS a, tape[j] AS b,
-        CASE WHEN tape[j].op = 'barrier' THEN 'Exception' WHEN tape[j].op = 'else' THEN 'FalseBranch'
-             WHEN tape[j - 1].op IN ('if', 'loop') THEN 'TrueBranch' WHEN tape[j].op = 'endloop' THEN 'LoopBack'
-             ELSE 'Seq' END AS kind,
-        tape[j].op = 'else' AND tape[j - 1].op = 'if' AS empty_arm))""")
-    e = functions.where("size(tape) > 1").select("ws", "uri", "fn", F.explode(pairs).alias("x"))
-    node = lambda c: [F.col(f"x.{c}.s").alias(f"{c}_start"), F.col(f"x.{c}.e").alias(f"{c}_end")]
-    plain = e.select("ws", "uri", "fn", *node("a"), *node("b"), "x.kind", "x.empty_arm")
-    # An arm without facts still has its true edge, straight to the marker that follows.
-    bare = plain.where("empty_arm").withColumn("kind", F.lit("TrueBranch"))
-    return plain.unionByName(bare).drop("empty_arm")
+    e = functions.select("ws", "uri", "fn", F.explode(F.expr(_edges_sql())).alias("x"))
+    return e.select("ws", "uri", "fn", F.col("x.as").alias("a_start"), F.col("x.ae").alias("a_end"),
+                    F.col("x.bs").alias("b_start"), F.col("x.be").alias("b_end"), "x.kind")
 
 
 def type_facts(functions: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ from deflow.operators.diff import blast_radius, diff
 from deflow.operators.shaping import consumers, findings, placed_findings, with_root
 from deflow.operators.solver import KEY, Solved, definitions, intraprocedural, place, reach, solve
 from deflow.operators.witness import trim_witness, witnesses
+from deflow.plans import workspace
 from deflow.plans.registry import query
 from deflow.session import cut
-from deflow.sources.code import file_unknowns, parse_sources
+from deflow.sources.code import changed_files, content_hash, file_unknowns, parse_sources
 from deflow.sources.derived import CALLEE, EDITED, HELPER, NAME, QUANTITY, RECV, URI, line_modules, module_sql
 
 _CACHE: dict[tuple, object] = {}
@@ -41,13 +42,21 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_sources(line_modules(spark, sf_dir))
 
 
-def placed(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
-    return _once(spark, ("placed", sf_dir, edited),
-                 lambda: place(facts.tapes(parse_sources(line_modules(spark, sf_dir, edited)))))
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, ("placed", sf_dir), lambda: place(facts.tapes(parse_sources(line_modules(spark, sf_dir)))))
 
 
-def solved(spark: SparkSession, sf_dir: str, edited: bool = False, scope: str = "workspace") -> Solved:
-    return _once(spark, ("solved", sf_dir, edited, scope), lambda: solve(placed(spark, sf_dir, edited), scope))
+def solved(spark: SparkSession, sf_dir: str, scope: str = "workspace") -> Solved:
+    return _once(spark, ("solved", sf_dir, scope), lambda: solve(placed(spark, sf_dir), scope))
+
+
+def solved_edited(spark: SparkSession, sf_dir: str) -> Solved:
+    """The state after the edit, from the state before: only files with other content are read again."""
+    def build():
+        before = line_modules(spark, sf_dir).select("ws", "uri", content_hash("text").alias("sha"))
+        edits = changed_files(line_modules(spark, sf_dir, edited=True), before)
+        return workspace.edited(workspace.Workspace(placed(spark, sf_dir), solved(spark, sf_dir)), edits.drop("sha")).solved
+    return _once(spark, ("edited", sf_dir), build)
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +328,7 @@ ch AS (SELECT 'new' AS change, a.* FROM ka a ANTI JOIN kb b ON a.uri = b.uri AND
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff(solved(spark, sf_dir).regressions, solved(spark, sf_dir, edited=True).regressions)
+    return diff(solved(spark, sf_dir).regressions, solved_edited(spark, sf_dir).regressions)
 
 
 @query("program_diff", BOTH + _CHANGES + " SELECT change, uri, func_name, symbol, kind, start_byte, end_byte FROM ch")
@@ -339,19 +348,23 @@ def q_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
   AND c.start_byte = w.start_byte GROUP BY w.root_uri, w.root_symbol""")
 def q_new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the preview of an edit reports: only new regressions are explained and grouped."""
-    after = solved(spark, sf_dir, edited=True)
+    after = solved_edited(spark, sf_dir)
     fresh = changes(spark, sf_dir).where("change = 'new'")
     return findings(with_root(witnesses(after, fresh)), ["ws"]).select("root_uri", "root_symbol", "n_consumers")
 
 
-@query("program_control_flow", MODEL + """ SELECT uri, kind, CAST(sum(n) AS BIGINT) AS n_edges FROM (
-  SELECT uri, 'TrueBranch' AS kind, CASE WHEN g IN (1, 2) THEN 1 ELSE 0 END AS n FROM src
-  UNION ALL SELECT uri, 'FalseBranch', CASE WHEN g IN (1, 2) THEN 1 ELSE 0 END FROM src
-  UNION ALL SELECT uri, 'Exception', CASE WHEN broken THEN 1 ELSE 0 END FROM src) GROUP BY uri, kind HAVING sum(n) > 0""")
+_AFTER = "strpos(text, '    v.run') + 3"
+
+
+@query("program_control_flow", MODEL + f""", e AS (
+  SELECT uri, 'TrueBranch' AS kind, strpos(text, 'if v') + 2 AS from_start, strpos(text, CASE g WHEN 1 THEN 'v.item' ELSE 'a.x' END) - 1 AS to_start FROM src WHERE g IN (1, 2)
+  UNION ALL SELECT uri, 'FalseBranch', strpos(text, 'if v') + 2, CASE g WHEN 1 THEN {_AFTER} ELSE strpos(text, 'v.y') - 1 END FROM src WHERE g IN (1, 2)
+  UNION ALL SELECT uri, 'Exception', strpos(text, '    v = ') + 3, strpos(text, 'z v') - 1 FROM src WHERE broken)
+SELECT uri, kind, from_start, to_start FROM e""")
 def q_control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Branch and exceptional control-flow edges per module."""
+    """Ends of branch and exceptional edges."""
     e = cfg.cfg_edges(placed(spark, sf_dir)).where("kind <> 'Seq'")
-    return e.groupBy("uri", "kind").agg(F.count(F.lit(1)).alias("n_edges"))
+    return e.select("uri", "kind", F.col("a_start").alias("from_start"), F.col("b_start").alias("to_start"))
 
 
 @query("program_parameter_types", MODEL + """ SELECT uri, 'b' AS symbol, 'Nullable' AS nullability FROM src WHERE l_linestatus = 'F'""")
