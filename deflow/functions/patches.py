@@ -114,3 +114,9 @@ def safe_name(path: str) -> Column:
 def percent(rate: Column) -> Column:
     """``12.3%``; undefined rates are ``N/A``."""
     return F.when(rate.isNull() | F.isnan(rate), "N/A").otherwise(F.format_string("%.1f%%", rate * 100))
+
+
+def first_available(sources: list[str], n: int) -> Column:
+    """The first source that is neither null nor empty, cut to its first ``n`` lines; null when there is none."""
+    return F.when(F.coalesce(*[F.nullif(F.col(s), F.lit("")) for s in sources]).isNotNull(),
+                  head_lines("coalesce(" + ", ".join(f"nullif({s}, '')" for s in sources) + ")", n))

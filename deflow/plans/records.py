@@ -398,10 +398,26 @@ def q_hunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("h.s").alias("first_line"), F.col("h.e").alias("last_line"))
 
 
-@query("relevant_truncation")
+_SHOWN = 20
+_CUT = """, ln AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE regexp_split_to_array(regexp_replace(text, '(\\r\\n|\\n|\\r)\\z', ''), '\\r\\n|\\n|\\r') END AS l FROM dl),
+bs AS (SELECT doc_id, text, l, len(l) AS n, coalesce(hs, 0) AS hs FROM ln LEFT JOIN (SELECT doc_id, count(*) AS hs FROM hr GROUP BY doc_id) USING (doc_id)),
+cd AS (SELECT doc_id, n, k, greatest(1, greatest(5, CAST(floor({m} / (2 * greatest(1, hs))) AS INTEGER)) // CAST(2 ** k AS INTEGER)) AS c FROM bs, range(0, 6) r(k) WHERE n > {m} AND hs > 0),
+pd AS (SELECT doc_id, k, c, n, greatest(1, s - c) AS s, least(n, e + c) AS e FROM cd JOIN hr USING (doc_id)),
+mx AS (SELECT *, max(e) OVER (PARTITION BY doc_id, k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM pd),
+gp AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM mx),
+mg AS (SELECT doc_id, k, c, n, g, min(s) AS s, max(e) AS e FROM gp GROUP BY doc_id, k, c, n, g),
+pk AS (SELECT doc_id, min(k) AS k FROM (SELECT doc_id, k, c, sum(e - s + 1) AS t FROM mg GROUP BY doc_id, k, c) WHERE t <= {m} OR c = 1 GROUP BY doc_id),
+pc AS (SELECT mg.*, l, lag(mg.e, 1, 0) OVER (PARTITION BY doc_id ORDER BY g) AS prev FROM mg JOIN pk USING (doc_id, k) JOIN bs USING (doc_id)),
+sh AS (SELECT doc_id, concat(string_agg(concat(CASE WHEN s > prev + 1 THEN concat('# ... (lines ', prev + 1, '–', s - 1, ' omitted) ...', chr(10)) ELSE '' END,
+    array_to_string(CASE WHEN e < s THEN [] ELSE l[s:e] END, chr(10))), chr(10) ORDER BY g),
+    CASE WHEN max_by(e, g) < any_value(n) THEN concat(chr(10), '# ... (lines ', max_by(e, g) + 1, '–', any_value(n), ' omitted) ...') ELSE '' END) AS shown FROM pc GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n <= {m} THEN text WHEN hs = 0 THEN array_to_string(l[1:{m}], chr(10)) ELSE shown END AS shown FROM bs LEFT JOIN sh USING (doc_id)"""
+
+
+@query("relevant_truncation", DOC + _HUNKS + _CUT.replace("{m}", str(_SHOWN)))
 def q_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut to the surroundings of their hunks; the loop has no SQL form, see the tests."""
-    t = patches.truncate_to_relevant("text", "patch", 20)
+    """Documents cut to the surroundings of their hunks, the context halved until they fit."""
+    t = patches.truncate_to_relevant("text", "patch", _SHOWN)
     return doc_patches(spark, sf_dir).select("doc_id", t.alias("shown"))
 
 

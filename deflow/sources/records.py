@@ -198,3 +198,13 @@ def anti_resume(work: DataFrame, done: DataFrame, key: str = "instance_id") -> D
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def orphans(records: DataFrame, known: DataFrame, key: str = "instance_id") -> DataFrame:
+    """Records of instances that ``known`` does not have, with their number per instance."""
+    return records.join(known.select(key).distinct(), key, "left_anti").groupBy(key).count()
+
+
+def in_both(a: DataFrame, b: DataFrame, key: str = "instance_id") -> DataFrame:
+    """Instances that both have, each once."""
+    return a.select(key).intersect(b.select(key))
