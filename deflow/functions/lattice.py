@@ -6,9 +6,6 @@ Codes are bytes so that an environment is an ``array<tinyint>``: 0 absent, 1 unk
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,20 +29,3 @@ def value_name(code: Column) -> Column:
 
 def value_code(name: Column) -> Column:
     return F.when(name == "Nullable", NULLABLE).when(name == "NonNull", NONNULL).otherwise(UNKNOWN)
-
-
-@dataclass(frozen=True)
-class Lattice:
-    """A property domain: its value without evidence, and its join as column builders.
-
-    ``join`` combines two columns and ``join_group`` aggregates one; both must be commutative,
-    associative and idempotent, so that partial aggregation cannot change a result.
-    """
-
-    bottom: Column
-    join: Callable[[Column, Column], Column]
-    join_group: Callable[[Column], Column]
-
-
-def nullability() -> Lattice:
-    return Lattice(F.lit(UNKNOWN), join_values, join_all)

@@ -66,7 +66,10 @@ def merged_sql(hunks: str, n_lines: str, context: str) -> str:
 
 
 def truncate_to_relevant(content: str, patch: str, max_lines: int = MAX_LINES) -> Column:
-    """A long file reduced to the surroundings of the diff's hunks, the context halved until it fits."""
+    """A long file reduced to the surroundings of the diff's hunks, the context halved until it fits.
+
+    Fixed value: the text of the mark where lines are left out.
+    """
     let = lambda var, value, body: f"transform(array({value}), {var} -> {body})[0]"
     total = lambda m: f"aggregate({m}, 0, (n, h) -> n + h.e - h.s + 1)"
     merged = lambda c: merged_sql("hk", "size(ln)", c)

@@ -114,12 +114,14 @@ def summarise(functions: DataFrame, links: DataFrame, hot: list[tuple], todo: Da
         calling = fold(functions.join(maps, KEY))
         first = leaf.join(todo, KEY, "left_semi").join(maps, KEY, "left_anti").unionByName(calling)
         current = cut(first.where(informative).withColumn("moved", F.lit(True)).unionByName(keep.withColumn("moved", F.lit(False))))
+    # Only functions with a resolved call are ever folded again, and a fold needs no more than these columns.
+    callers = cut(functions.join(links.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "n_params", "syms", "tape"), keep_layout=True)
     bound, rounds = None, 1
     while True:
         moved = current.where("moved").select("ws", F.col("uri").alias("c_uri"), F.col("fn").alias("c_fn"))
         front = lookup(links, moved, CALLEE, "inner", hot).select(*KEY).distinct()
         maps = _callee_summaries(links.join(front, KEY, "left_semi"), current.drop("moved"), hot)
-        again = fold(functions.join(maps, KEY)).select(*KEY, F.struct("base", "nfp").alias("new"))
+        again = fold(callers.join(maps, KEY)).select(*KEY, F.struct("base", "nfp").alias("new"))
         old = current.select(*KEY, F.struct("base", "nfp").alias("old"))
         differs = F.when(F.col("old").isNull(), F.expr("(new.base <> 1Y OR exists(new.nfp, x -> x))")).otherwise(
             (F.col("old.base") != F.col("new.base")) | (F.col("old.nfp") != F.col("new.nfp")))
@@ -131,7 +133,7 @@ def summarise(functions: DataFrame, links: DataFrame, hot: list[tuple], todo: Da
         rounds += 1
         if current.where("moved").isEmpty():
             break
-        bound = bound or functions.count() + 1
+        bound = bound or callers.count() + 1
         if rounds > bound:
             break
     return current.drop("moved").where(informative), rounds
