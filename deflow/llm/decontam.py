@@ -10,6 +10,8 @@ stream past once per block, so neither side has a size limit. In a batch of docu
    moved around are covered as well;
 4. the item counts as contained when tiles cover at least ``COVERAGE`` of its words.
 
+Words are compared without case and ASCII punctuation, so neither hides a passage.
+
 Defined results: null and empty texts match nothing, on both sides. An item of fewer than ``SEED`` words is
 looked for as a whole. Items or documents that repeat are reported each. Ties go to the earlier place in
 the item, then in the document. Clashing column names get an underscore.
@@ -47,7 +49,7 @@ class Block:
 
     @staticmethod
     def of(items: list[tuple[int | None, bytes | None]], seed: int = SEED) -> Block:
-        w = split([t for _, t in items])
+        w = split([t for _, t in items], True)
         n = np.diff(w.first)
         seeds = {}
         for width in sorted(set(np.minimum(n[n > 0], seed).tolist())):
@@ -67,11 +69,11 @@ def blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_WORDS)
     total = 0
     for r in benchmark.select(F.col(key).cast("long"), F.col(text)).toLocalIterator():
         data = (r[1] or "").encode("utf-8", "surrogatepass")
-        n = len(data.split())
+        n = len(data) // 2 + 1      # words at most
         if held and total + n > limit:
             yield Block.of(held)
             held, total = [], 0
-        if n:
+        if data:
             held.append((r[0], data))
             total += n
     if held:
@@ -154,7 +156,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 texts, keys = common.utf8(b.column(1)), b.column(0).to_pylist()
                 for x, y in portions(texts):
                     found = [(keys[x + d], i, c, [dict(zip(("item_at", "doc_at", "words"), t)) for t in tiles])
-                             for d, rows in enumerate(contained(split(texts[x:y]), held.value, coverage)) for i, c, tiles in rows]
+                             for d, rows in enumerate(contained(split(texts[x:y], True), held.value, coverage)) for i, c, tiles in rows]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), shape)], schema=shape)
 
@@ -178,6 +180,6 @@ def _free_of(held: Broadcast, coverage: float):
     def free(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             texts = common.utf8(b)
-            yield pa.array([not f for x, y in portions(texts) for f in contained(split(texts[x:y]), held.value, coverage)], pa.bool_())
+            yield pa.array([not f for x, y in portions(texts) for f in contained(split(texts[x:y], True), held.value, coverage)], pa.bool_())
 
     return free

@@ -7,6 +7,7 @@ so no Python code runs per word. Texts of a batch are joined by line feeds and w
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ BLOCK = 1 << 20     # bytes worked on together; a longer word makes a longer blo
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_MARKS = _WHITE.copy()      # with ASCII punctuation, for words without the marks around them
+_MARKS[[ord(c) for c in string.punctuation]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -77,12 +80,13 @@ class Words:
         return self.runs(at, np.minimum(at + width, self.first[text + 1])), text
 
 
-def split(texts: list[bytes | None]) -> Words:
+def split(texts: list[bytes | None], bare: bool = False) -> Words:
+    """The words of each text (none of a null); ``bare`` words end at ASCII punctuation as well."""
     joined = b"\n".join(t or b"" for t in texts)
     data = np.frombuffer(joined, np.uint8)
     length = np.array([len(t or b"") + 1 for t in texts], np.int64)
     at = np.cumsum(length) - length
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], _WHITE[data], [True]]).astype(np.int8)))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], (_MARKS if bare else _WHITE)[data], [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     hashes, done = np.zeros(len(starts), np.uint64), 0
     while done < len(starts):

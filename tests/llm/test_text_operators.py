@@ -138,7 +138,7 @@ def test_tiles_against_plain():
     for _ in range(150):
         item = [rng.choice("abc") for _ in range(rng.randint(3, 14))]
         doc = [rng.choice("abc") for _ in range(rng.randint(3, 20))]
-        w = words.split([" ".join(doc).encode()])
+        w = words.split([" ".join(doc).encode()], True)
         block = decontam.Block.of([(7, " ".join(item).encode())], 3)
         tiles = plain_tiles(item, doc, 3)
         got = decontam.contained(w, block, 1e-9)[0]
@@ -150,7 +150,7 @@ def test_decontamination(spark, tiny, monkeypatch):
     rng = random.Random(9)
     item = prose(rng, 40).split()
     half = " ".join(item[20:]) + " zz " + " ".join(item[:20])
-    rows = [(1, prose(rng, 50) + " " + half), (2, prose(rng, 60)), (3, " ".join(item[:15])), (4, None), (5, ""), (6, " ".join(item).upper()), (6, " ".join(item)), (None, half), (8, "q r")]
+    rows = [(1, prose(rng, 50) + " " + half), (2, prose(rng, 60)), (3, " ".join(item[:15])), (4, None), (5, ""), (6, " ".join(item).upper()), (6, "!! ".join(item)), (None, half), (8, "q r")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(1))
     bench = spark.createDataFrame([(10, " ".join(item)), (10, " ".join(item)), (11, None), (12, " "), (13, "Q R")], "item_id long, text string")
     for limit in (1_000_000, 10):   # one block, and a block per item
