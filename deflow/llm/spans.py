@@ -1,6 +1,7 @@
 """Substring dedup over sliding spans of consecutive sentences.
 
-Every run of ``SPAN`` consecutive sentences of a text is hashed. Spans that occur more than once anywhere
+From every sentence on, the shortest run of ``SPAN`` or more consecutive sentences with ``LEAST`` words is hashed,
+so that a line that many documents share is no span and a passage of fifty words holds several. Spans that occur more than once anywhere
 are found by counting (combined map-side, so a passage that everybody shares costs one row per task), and
 joined back to their places; the first place, by document key and sentence number, stays, and the
 sentences that any other place covers are removed.
@@ -10,8 +11,7 @@ are cut after ``PIECE`` words, so that a passage in one long sentence is found a
 compared as their lower-cased words.
 
 Defined results: null and empty texts have no sentence, and nothing is removed; texts of fewer than ``SPAN``
-sentences have one span, the whole text, if it has at least ``LEAST`` words. A span of fewer than ``LEAST``
-words is no span. Rows that repeat a key are one document: their equal places are one place. Null keys come
+sentences have one span, the whole text, if it has at least ``LEAST`` words. Rows that repeat a key are one document: their equal places are one place. Null keys come
 first. Clashing column names get an underscore.
 """
 
@@ -30,7 +30,7 @@ from deflow.llm.words import Words, portions, split
 
 SPAN = 3
 PIECE = 8       # words of a sentence before it is cut
-LEAST = 12      # words of a span
+LEAST = 20      # words of a span
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?|"]] = True
@@ -67,16 +67,18 @@ def sentences(texts: list[bytes | None], piece: int = PIECE) -> Sentences:
 
 
 def spans(s: Sentences, span: int = SPAN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, first sentence (counted in its text) and number of sentences of every span."""
+    """Hash, text, first sentence (counted in its text) and number of sentences of every span.
+
+    From every sentence on, the shortest run of at least ``span`` sentences (all of a shorter text) and ``least`` words.
+    """
     n = np.diff(s.first)
-    width = np.minimum(n, span)
-    count = np.where(n > 0, n - width + 1, 0)
-    text = np.repeat(np.arange(len(n)), count)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    a, b = s.word[s.first[text] + at], s.word[s.first[text] + at + width[text]]
-    good = np.flatnonzero(b - a >= least)
-    text, at = text[good], at[good]
-    return s.words.runs(a[good], b[good]).view(np.int64), text, at.astype(np.int32), width[text].astype(np.int32)
+    text = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(text))
+    last = s.first[text + 1]
+    end = np.maximum(np.searchsorted(s.word, s.word[i] + least), i + np.minimum(span, n[text]))
+    good = np.flatnonzero((end <= last) & (s.word[np.minimum(end, len(s.word) - 1)] - s.word[i] >= least))
+    i, end, text = i[good], end[good], text[good]
+    return s.words.runs(s.word[i], s.word[end]).view(np.int64), text, (i - s.first[text]).astype(np.int32), (end - i).astype(np.int32)
 
 
 def places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

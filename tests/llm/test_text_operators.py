@@ -184,11 +184,11 @@ def plain_removals(rows):
     seen, out = {}, {}
     for key, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         s = plain_sentences(text)
-        width = min(spans.SPAN, len(s))
-        for i in range(len(s) - width + 1 if s else 0):
-            run = tuple(w for p in s[i:i + width] for w in p)
-            if len(run) >= spans.LEAST and seen.setdefault(run, (key, i)) != (key, i):
-                out.setdefault(key, set()).update(range(i, i + width))
+        for i in range(len(s)):
+            ends = [j for j in range(i + min(spans.SPAN, len(s)), len(s) + 1) if sum(map(len, s[i:j])) >= spans.LEAST]
+            run = tuple(w for p in s[i:ends[0]] for w in p) if ends else None
+            if run and seen.setdefault(run, (key, i)) != (key, i):
+                out.setdefault(key, set()).update(range(i, ends[0]))
     return out
 
 
