@@ -41,8 +41,8 @@ from deflow.llm.words import portions, split
 
 WIDTH = 5
 PART, WHOLE = 80, 100       # linked when WHOLE * common >= PART * union
-FLUSH = 2_000_000           # elements a task packs at a time: about 80 MB while it sorts
-BUCKET = 2_000_000          # elements of a bucket
+FLUSH = 1_000_000           # elements a task packs at a time: about 40 MB while it sorts
+BUCKET = 1_500_000          # elements of a bucket
 LOCAL_HOT = 64              # sets of one packing that make an element hot
 HOT = np.uint32(0xFFFFFFFF)
 ROUNDS = 2                  # of comparing each set with a few others before the exhaustive comparison
@@ -193,8 +193,9 @@ def shared_elements(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 continue
             ref, size, gaps, index, mark = unpack(blob)
             refs.append(ref[index]), sizes.append(size[index]), hs.append(np.cumsum(gaps, dtype=np.uint64)), marks.append(mark)
-        if hs:
+        if marks:
             ref, size, h = np.concatenate(refs), np.concatenate(sizes), np.concatenate(hs)
+            del refs, sizes, hs
             order = np.lexsort((ref, h))
             ref, size, h = ref[order], size[order], h[order]
             if len(h):
