@@ -14,7 +14,8 @@ _RUNS = ("  ", " \n", "\n ", "\n\n")
 _JOINED = re.compile(r"[\W_][.,](?:\s|\Z)")    # a stop that belongs to a run of other marks
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 _WORD = re.compile(r" ?[^\W\d_]+").fullmatch
-REMEMBERED = 800_000    # words kept by one worker (a few hundred bytes each at most); then it starts anew
+REMEMBERED = 650_000    # words kept by one worker (about 200 bytes each); beyond that only short ones stay,
+SHORT = 8               # which are those that come again; half as many of them at most
 
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -53,7 +54,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
+            short = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}
             self.known = _Known(self.tokenizer, self.known.code)
+            if len(short) <= REMEMBERED // 2:
+                self.known.update(short)
         known = self.known.__getitem__
         return [b"".join(map(known, pieces(x))) for x in texts]
 
