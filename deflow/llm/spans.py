@@ -101,8 +101,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     all_ = places(docs, key, text)
     place = F.struct(F.col("k"), F.col("at"))
     counts = all_.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    twice = counts.select("span", F.col("first.k").alias("first_k"), F.col("first.at").alias("first_at"))
-    # The join is an ordinary one on the span, which adaptive execution splits where a span is hot.
+    # As a table of its own, the join below has a shuffle on either side, which adaptive execution can split.
+    twice = common.written(counts.select("span", F.col("first.k").alias("first_k"), F.col("first.at").alias("first_at")), "repeated")
     return all_.join(twice, "span").where(~(F.col("k").eqNullSafe(F.col("first_k")) & (F.col("at") == F.col("first_at"))))
 
 
