@@ -1,18 +1,18 @@
 """Substring dedup over sliding spans of consecutive sentences.
 
 From every sentence on, the shortest run of ``SPAN`` or more consecutive sentences with ``LEAST`` words is hashed,
-so that a line that many documents share is no span and a passage of fifty words holds several. Spans that occur more than once anywhere
-are found by counting (combined map-side, so a passage that everybody shares costs one row per task), and
-joined back to their places; the first place, by document key and sentence number, stays, and the
-sentences that any other place covers are removed.
+so that a line that many documents share is no span and a passage of fifty words holds several. Spans that
+occur more than once anywhere are found by counting (combined map-side, so a passage that everybody shares
+costs one row per task), and joined back to their places; the first place, by document key and sentence
+number, stays, and the sentences that any other place covers are removed.
 
 A sentence ends at a line break or with a word that ends in ``.``, ``!``, ``?`` or ``|``; longer ones
 are cut after ``PIECE`` words, so that a passage in one long sentence is found as well. Sentences are
 compared as their lower-cased words.
 
 Defined results: null and empty texts have no sentence, and nothing is removed; texts of fewer than ``SPAN``
-sentences have one span, the whole text, if it has at least ``LEAST`` words. Rows that repeat a key are one document: their equal places are one place. Null keys come
-first. Clashing column names get an underscore.
+sentences have one span, the whole text, if it has at least ``LEAST`` words. Rows that repeat a key are one
+document: their equal places are one place. Null keys come first. Clashing column names get an underscore.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import pytest
 
 from deflow.llm import queries, setjoin
 from deflow.llm.components import components
-from tests.llm.conftest import DOCS, ROWS
+from tests.llm.conftest import ROWS
 
 
 def plain(rows):
