@@ -19,8 +19,9 @@ start. Two sets are linked when ``100 * common >= 80 * union``.
    them, so no link between components is lost. Nothing is emitted for all pairs of a group of copies.
 
 Defined results: a null or empty text has an empty set, no link and its own key as component. A text of
-fewer than five words has its whole sequence as its one element. Rows that repeat a key or a text are
-members of one class. A null key can belong to a component but never names it, unless all its keys are null.
+fewer than five words has its whole sequence as its one element. Rows that repeat a text are members of one
+class; a row's own text decides, so rows of one key with different texts can be in different components. A
+null key can belong to a component but never names it, unless all its keys are null.
 Sets and elements are identified by 64-bit hashes. Clashing column names do not matter, as only key and
 text are read.
 """
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deflow.llm import common
@@ -161,13 +162,14 @@ def _rows(found: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, ref (name of the set, null for an empty one), n."""
+    """k, mark (hash of the text), ref (name of the set, null for an empty one), n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(None, 0) if not len(s) else (np.uint64(name_of(s)).view(np.int64).item(), len(s)) for s in sets_of(common.utf8(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["k", "ref", "n"])
+            found = [(None, 0) if not len(s) else (np.uint64(name_of(s)).view(np.int64).item(), len(s)) for s in sets_of(common.utf8(b.column(2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["k", "mark", "ref", "n"])
 
-    return common.on_workers(docs).select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "k long, ref long, n long")
+    own = common.on_workers(docs).select(docs[key].cast("long").alias("k"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("t"))
+    return own.mapInArrow(run, "k long, mark long, ref long, n long")
 
 
 def shared_elements(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -323,22 +325,47 @@ def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return lists.join(roots, lists["ref"] == roots["node"], "left").select("h", "ref", "n", "rest", "plain", F.coalesce("root", "ref").alias("root"))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _first(own: DataFrame, roots: DataFrame, least: Column) -> DataFrame:
+    """ref, least: the least of each set's component, over the rows of all its sets."""
+    first = own.where("ref IS NOT NULL").groupBy("ref").agg(F.min(least).alias("low")).join(roots, "ref", "left").withColumn("root", F.coalesce("root", "ref"))
+    lows = first.groupBy("root").agg(F.min("low").alias("least"))
+    return first.join(lows, "root").select("ref", "least")
+
+
+def _linked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sets, and the roots of linked sets."""
     own = common.written(members(docs, key, text), "members")
     total = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, -(-int(total) // BUCKET))
-    sets = common.written(shared_elements(docs, text, buckets), "sets")
-    roots = classes(sets)
-    first = own.where("ref IS NOT NULL").groupBy("ref").agg(F.min("k").alias("low")).join(roots, "ref", "left").withColumn("root", F.coalesce("root", "ref"))
-    lows = first.groupBy("root").agg(F.min("low").alias("least"))
-    named = first.join(lows, "root").select("ref", "least")
-    out = own.join(named, "ref", "left")
+    return own, classes(common.written(shared_elements(docs, text, buckets), "sets"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    own, roots = _linked(docs, key, text)
+    out = own.join(_first(own, roots, F.col("k")), "ref", "left")
     return out.select(F.col("k").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those of a smaller key in their component; rows of a null key stay where it names the component."""
-    found = join(docs, key, text)
-    lost = found.where("doc_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[key].cast("long") == lost["_lost"], "left_anti")
+    """``docs`` with exactly one row of each component: the one with the smallest key, then text hash, null keys last.
+
+    Rows are told apart by key and text hash; of rows that are equal in both, the one whose other columns are
+    smallest stays. Texts without words are alike to nothing, and all their rows stay.
+    """
+    own, roots = _linked(docs, key, text)
+    row = F.struct(F.col("k").isNull().alias("no_key"), "k", "mark")
+    alike = own.where("ref IS NOT NULL").groupBy("ref", "k", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    judged = alike.join(_first(alike, roots, row), "ref").select("k", "mark", (row == F.col("least")).alias("stays"), "rows")
+    judged = common.written(judged.where("NOT stays OR rows > 1"), "judged")
+    same = lambda j: docs[key].cast("long").eqNullSafe(j["k"]) & (F.xxhash64(docs[text]) == j["mark"])
+    out = docs.join(judged, same(judged), "left_anti")
+    again = judged.where("stays")
+    if again.isEmpty():
+        return out
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.join(again, same(again), "left_semi").toDF(*names)
+    at, by = (names[docs.columns.index(c)] for c in (text, key))
+    # A minimum is combined map-side, so rows that repeat very often meet as one for each task.
+    one = rows.groupBy(F.col(by).cast("long").alias("k"), F.xxhash64(at).alias("mark")).agg(F.min(F.struct(*names)).alias("least"))
+    return out.unionByName(one.select("least.*").toDF(*docs.columns))

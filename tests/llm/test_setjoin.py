@@ -81,6 +81,24 @@ def test_keep_first_keeps_columns(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, c in low if k == c}
 
 
+def test_keep_first_keeps_one_row_of_each_component(spark):
+    """Null, repeated and clashing keys: every component has one row left, and texts without words all stay."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a, "y"), (None, a, "x"), (None, a + " more", "x"),          # null keys beside a key
+            (2, b, "y"), (2, b, "x"), (2, b + " more", "x"),                # rows that repeat the naming key
+            (1, c, "x"),                                                    # a key of another component, no other copy
+            (None, d, "y"), (None, d, "x"), (None, d, None),                # null keys alone
+            (3, "", "x"), (3, "", "x"), (None, None, "x"), (None, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = [tuple(r) for r in setjoin.keep_first(df).collect()]
+    words = [r for r in kept if r[1]]
+    assert sorted(r for r in words if r[0] is not None and not r[1].startswith("b")) == [(1, a, "y"), (1, c, "x")]
+    assert [r for r in words if r[0] is None] == [(None, d, None)]
+    assert len([r for r in words if r[1].startswith("b")]) == 1
+    assert len(words) == 4 and len(kept) == 8
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(1)
     arrays = [rng.integers(0, 1 << 63, 100).astype(np.uint64), rng.integers(0, 9, 7).astype("<u2"), np.zeros(0, "<u4")]
