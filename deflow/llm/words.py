@@ -80,14 +80,35 @@ class Words:
         return self.runs(at, np.minimum(at + width, self.first[text + 1])), text
 
 
-def split(texts: list[bytes | None], bare: bool = False) -> Words:
-    """The words of each text (none of a null); ``bare`` words end at ASCII punctuation as well."""
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters of scripts written without blanks begin (Han, Kana, Thai, Lao, Tibetan, Burmese, Khmer), and all their bytes."""
+    lead, next_ = data[:-1], data[1:]
+    three = (lead == 0xE0) & (next_ >= 0xB8) | (lead == 0xE1) & np.isin(next_, (0x80, 0x81, 0x9E, 0x9F)) | (lead >= 0xE3) & (lead <= 0xE9)
+    three |= (lead == 0xEF) & np.isin(next_, (*range(0xA4, 0xAC), 0xBC, 0xBD))
+    four = (lead == 0xF0) & (next_ >= 0xA0) & (next_ <= 0xB3)
+    begins = np.append(three | four, False)
+    inside = begins.copy()
+    for i in (1, 2, 3):
+        inside[i:] |= np.append(four if i == 3 else three | four, False)[:len(data) - i]
+    return begins, inside
+
+
+def split(texts: list[bytes | None], bare: bool = False, characters: bool = False) -> Words:
+    """The words of each text (none of a null); ``bare`` words end at ASCII punctuation as well, and with
+    ``characters`` each character of a script without blanks is a word."""
     joined = b"\n".join(t or b"" for t in texts)
     data = np.frombuffer(joined, np.uint8)
     length = np.array([len(t or b"") + 1 for t in texts], np.int64)
     at = np.cumsum(length) - length
     edges = np.flatnonzero(np.diff(np.concatenate([[True], (_MARKS if bare else _WHITE)[data], [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
+    if characters and len(data) > 1:
+        begins, inside = unspaced(data)
+        if begins.any():
+            cut = begins.copy()
+            cut[1:] |= inside[:-1] & ~inside[1:]
+            cut = np.flatnonzero(cut & ~_WHITE[data])
+            starts, ends = np.union1d(starts, cut), np.union1d(ends, np.setdiff1d(cut, starts))
     hashes, done = np.zeros(len(starts), np.uint64), 0
     while done < len(starts):
         begin = starts[done]

@@ -211,6 +211,44 @@ def test_span_rewrite(spark, docs):
         assert r["doc_id"] in lost or r["text"] == before[r["doc_id"]]
 
 
+def test_passages_at_any_word(spark):
+    """Every repeated run of 50 words (or characters, without blanks) costs its later documents words of it, and no others."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    rows, shared = [], {}
+    for g in range(60):     # one endless sentence each, a passage at random offsets in two hosts
+        passage = [word() for _ in range(50)]
+        for k in (2 * g, 2 * g + 1):
+            rows.append((k, " ".join([word() for _ in range(rng.randint(0, 40))] + passage + [word() for _ in range(rng.randint(0, 40))])))
+        shared[2 * g + 1] = set(passage)
+    for g in range(60, 80):
+        passage = han(50)
+        for k in (2 * g, 2 * g + 1):
+            rows.append((k, han(rng.randint(0, 40)) + passage + han(rng.randint(0, 40))))
+        shared[2 * g + 1] = set(passage)
+    prose_ = lambda n: [word() + "." * (rng.random() < 0.06) for _ in range(n)]
+    for g in range(80, 140):    # sentences of all lengths
+        passage = prose_(50)
+        for k in (2 * g, 2 * g + 1):
+            rows.append((k, " ".join(prose_(rng.randint(0, 40)) + passage + prose_(rng.randint(0, 40)))))
+        shared[2 * g + 1] = set(passage)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    units = lambda k, t: list(t) if 120 <= k < 160 else t.split()
+    for r in spans.dedup(df).collect():
+        before, after = units(r["doc_id"], dict(rows)[r["doc_id"]]), units(r["doc_id"], r["text"])
+        gone = set(before) - set(after)
+        assert gone <= shared.get(r["doc_id"], set())
+        assert len(gone) >= (16 if r["doc_id"] < 160 else 1) if r["doc_id"] in shared else not gone
+
+
+def test_characters_as_words():
+    got = words.split(["ab \u4e2d\u6587x\u3042 \u0e01 \U00020000z \ud55c\uae00".encode(), None, "\u4e2d".encode()], characters=True)
+    assert [bytes(got.data[a:b]).decode() for a, b in zip(got.starts.tolist(), got.ends.tolist())] == [
+        "ab", "\u4e2d", "\u6587", "x", "\u3042", "\u0e01", "\U00020000", "z", "\ud55c\uae00", "\u4e2d"]
+    assert got.first.tolist() == [0, 9, 9, 10]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (None, None)], [(1, ""), (2, " ")], [(1, "a b. c d."), (2, "a b. c d.")]])
 def test_spans_small(spark, rows):
     assert spans.removals(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
