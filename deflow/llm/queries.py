@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deflow.llm import chat, decontam, fingerprints, langid, mixing, oracles, quality, setjoin, spans, tokenfile, urls
+from deflow.llm import (chat, decontam, fingerprints, langid, merkle, mixing, oracles, phrases, quality, secrets, setjoin, spans, tokenfile,
+                        urls)
 from deflow.llm.common import table, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,23 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.removals(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
+    return out.select("doc_id", *[secrets.count_of("spans", k).alias(f"n_{k}") for k in secrets.KINDS],
+                      F.sha2(secrets.listed("spans", True).cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_mix, op3_quality, op4_token_files, op5_jaccard_join, op6_chat, op7_language,
-                                 op8_fingerprints, op9_decontamination, op10_sentence_spans)}
-ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(), "op5_jaccard_join": oracles.jaccard(), "op6_chat": oracles.chat()}
+                                 op8_fingerprints, op9_decontamination, op10_sentence_spans, op11_collocations,
+                                 op12_merkle_manifest, op13_secrets)}
+ORACLES: dict[str, str] = {"op1_url_filter": oracles.url_filter(), "op5_jaccard_join": oracles.jaccard(), "op6_chat": oracles.chat(),
+                           "op11_collocations": oracles.collocations(), "op12_merkle_manifest": oracles.manifest()}

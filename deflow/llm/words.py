@@ -93,14 +93,15 @@ def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, inside
 
 
-def split(texts: list[bytes | None], bare: bool = False, characters: bool = False) -> Words:
+def split(texts: list[bytes | None], bare: bool = False, characters: bool = False, gaps: np.ndarray | None = None) -> Words:
     """The words of each text (none of a null); ``bare`` words end at ASCII punctuation as well, and with
-    ``characters`` each character of a script without blanks is a word."""
+    ``characters`` each character of a script without blanks is a word. ``gaps`` tells of each byte whether it
+    ends words, instead of white space; a line feed must."""
     joined = b"\n".join(t or b"" for t in texts)
     data = np.frombuffer(joined, np.uint8)
     length = np.array([len(t or b"") + 1 for t in texts], np.int64)
     at = np.cumsum(length) - length
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], (_MARKS if bare else _WHITE)[data], [True]]).astype(np.int8)))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], (_MARKS if bare else _WHITE if gaps is None else gaps)[data], [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if characters and len(data) > 1:
         begins, inside = unspaced(data)
