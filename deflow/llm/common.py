@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -10,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,17 +74,21 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def hash_sample(df: DataFrame, by: str, key: Column, rows: int, salt: int = 0) -> DataFrame:
-    """About ``rows`` rows of each value of ``by`` (all rows of smaller values), chosen by a hash of ``key``.
+    """At most ``rows`` rows of each value of ``by``, with different hashes of ``key``: those with the least.
 
-    Counts are combined map-side and the choice is a filter on the hash, so no value is gathered or sorted.
-    The size is bounded by its expectation ``rows`` and shrinks to it as the table grows.
+    A filter on the hash leaves a few times ``rows`` of a value, by its count; of these, equal hashes become one
+    row map-side, so a key that repeats very often is one, and tasks keep their least ``rows`` before they meet.
+    No value is gathered or sorted as a whole. Where keys repeat, fewer rows can result. ``by`` has few values.
     """
-    counts = df.where(F.col(by).isNotNull()).groupBy(by).count().collect()
+    own = df.where(F.col(by).isNotNull())
+    counts = own.groupBy(by).count().collect()
     if not counts:
         return df.limit(0)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[by]), F.lit(min(1.0, rows / r["count"])))])
-    spot = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(F.col(by).isNotNull() & (spot < share[F.col(by)]))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r[by]), F.lit(int(min(1.0, 4 * rows / r["count"]) * (1 << 40))))])
+    own = own.withColumn("_spot", F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)))
+    few = own.where(F.col("_spot") < share[F.col(by)]).groupBy(by, "_spot").agg(F.min(F.struct(*df.columns)).alias("_row"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_spot"))
+    return few.withColumn("_place", place).where(F.col("_place") <= rows).select("_row.*")
 
 
 def window_of(text: Column, key: Column, size: int, salt: int = 0) -> Column:
@@ -92,6 +97,15 @@ def window_of(text: Column, key: Column, size: int, salt: int = 0) -> Column:
     return F.substr(text, (F.pmod(F.xxhash64(key, F.lit(salt), F.lit("at")), spare) + 1).cast("int"), F.lit(size))
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system, so that a worker's next task starts small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # another C library than glibc
+        pass
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()

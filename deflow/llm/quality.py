@@ -5,7 +5,7 @@ probability by a logistic curve that is fitted on further labelled rows.
 
 Defined results: a null or empty text has difference 0 and gets the curve's value there. Without rows of
 both labels every score is 0.5. Labels other than 0 and 1, or null, teach nothing; a document labelled
-both ways teaches both. Repeated rows are scored one by one; clashing column names get an underscore.
+both ways teaches both; of documents with one key, the least text teaches. Repeated rows are scored one by one; clashing column names get an underscore.
 """
 
 from __future__ import annotations
@@ -69,6 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     chosen = docs.sparkSession.createDataFrame(
         common.hash_sample(marked, "y", F.col("k"), 2 * ROWS).collect(), marked.schema)
     rows = docs.select(F.col(text).alias("t"), F.col(key).alias("k")).where("t IS NOT NULL").join(F.broadcast(chosen), "k")
+    rows = rows.groupBy("y", "k").agg(F.min("t").alias("t"))     # of documents with one key, one text
     sample = rows.select(
         "y", common.window_of(F.col("t"), F.col("k"), CURVE_TEXT).alias("t"),
         common.window_of(F.col("t"), F.col("k"), STRETCH, 1).alias("s"),

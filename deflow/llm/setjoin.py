@@ -186,6 +186,7 @@ def shared_elements(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                         yield _rows([row], names, types)
         for row in packer.flush():
             yield _rows([row], names, types)
+        common.release()
 
     def answered(t: pa.Table) -> pa.Table:
         out, refs, sizes, hs, marks = [], [], [], [], []
@@ -209,6 +210,9 @@ def shared_elements(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 df = np.repeat(df, count)
                 keep = df > 1
                 out += replies(ref[keep], size[keep], h[keep], df[keep], buckets)
+                del df, keep, new, first, count
+            del ref, size, h, order, marks
+            common.release()
         return pa.table({"target": pa.array([o[0] for o in out], pa.int32()), "blob": pa.array([o[1] for o in out], pa.binary())})
 
     def gathered(t: pa.Table) -> pa.Table:

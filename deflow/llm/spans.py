@@ -16,8 +16,9 @@ its ends, sentences of up to ``LONG`` words and pieces that reach out of it can
 character counts as a word.
 
 Defined results: null and empty texts have no sentence, and nothing is removed; texts of fewer than ``SPAN``
-sentences have one span, the whole text, if it has at least ``LEAST`` words. Rows that repeat a key are one
-document: their equal places are one place. Null keys come first. Clashing column names get an underscore.
+sentences have one span, the whole text, if it has at least ``LEAST`` words. A document is told by its key and a hash
+of its text, so rows of one key, or without any, lose what their own text repeats; rows equal in both are one
+document, and their equal places are one place. Null keys come first. Clashing column names get an underscore.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deflow.llm import common
@@ -122,45 +123,53 @@ def anchored(s: Sentences, run: int = RUN, window: int = WINDOW) -> tuple[np.nda
 
 
 def places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """span hash, key, first sentence, width, and for a run that begins anywhere the bits of its long sentences: one row per span."""
-    source = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
+    """span hash, key, mark of the text, first sentence, width, and for a run that begins anywhere the bits of its long sentences: one row per span."""
+    source = docs.select(docs[key].cast("long").alias("k"), mark_of(docs[text]).alias("mark"), docs[text].alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = common.utf8(b.column(1))
+            texts = common.utf8(b.column(2))
             for x, y in portions(texts):
                 s = sentences(texts[x:y])
                 *own, long = anchored(s)
                 h, text, at, width = (np.concatenate(both) for both in zip(spans(s), own))
                 long = pa.concat_arrays([pa.nulls(len(h) - len(long), pa.int64()), pa.array(long)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), b.column(0).slice(x, y - x).take(pa.array(text)), pa.array(at), pa.array(width), long],
-                    names=["span", "k", "at", "width", "long"])
+                    [pa.array(h), *(b.column(i).slice(x, y - x).take(pa.array(text)) for i in (0, 1)), pa.array(at), pa.array(width), long],
+                    names=["span", "k", "mark", "at", "width", "long"])
 
-    return common.on_workers(source).mapInArrow(run, "span long, k long, at int, width int, long long")
+    return common.on_workers(source).mapInArrow(run, "span long, k long, mark int, at int, width int, long long")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every place but the first of every span that repeats: span, k, at, width, long, first_k, first_at."""
+    """Every place but the first of every span that repeats: span, k, mark, at, width, long, first_k, first_mark, first_at."""
     all_ = places(docs, key, text)
-    place = F.struct(F.col("k"), F.col("at"))
+    place = F.struct("k", "mark", "at")
     counts = all_.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     # As a table of its own, the join below has a shuffle on either side, which adaptive execution can split.
-    twice = common.written(counts.select("span", F.col("first.k").alias("first_k"), F.col("first.at").alias("first_at")), "repeated")
-    return all_.join(twice, "span").where(~(F.col("k").eqNullSafe(F.col("first_k")) & (F.col("at") == F.col("first_at"))))
+    twice = common.written(counts.select("span", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("k", "mark", "at")]), "repeated")
+    return all_.join(twice, "span").where("NOT (k <=> first_k AND mark = first_mark AND at = first_at)")
+
+
+def mark_of(text: Column) -> Column:
+    """What tells texts of one key, or of none, apart."""
+    return F.hash(text)
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document that loses sentences: key, sentences (their numbers, ascending), firsts (keys of the places that stay)."""
+    return _removals(docs, key, text).select(F.col("k").alias(key), "sentences", "firsts")
+
+
+def _removals(docs: DataFrame, key: str, text: str) -> DataFrame:
     hit = repeated(docs, key, text).withColumn("all", F.sequence("at", F.col("at") + F.col("width") - 1))
     run = F.struct("all", F.expr("filter(all, i -> shiftright(long, i - at) & 1 = 1)").alias("some"), "first_k")
-    found = hit.groupBy("k").agg(
+    found = hit.groupBy("k", "mark").agg(
         F.collect_set(F.when(F.col("long").isNull(), F.struct("all", "first_k"))).alias("spans"), F.collect_set(F.when(F.col("long").isNotNull(), run)).alias("runs"))
     found = found.withColumn("base", F.expr("array_distinct(flatten(concat(transform(spans, x -> x.all), transform(runs, x -> x.some))))"))
     found = found.withColumn("rest", F.expr("filter(runs, x -> NOT arrays_overlap(x.all, base))"))
     return found.select(
-        F.col("k").alias(key),
-        F.expr("array_sort(array_distinct(concat(base, flatten(transform(rest, x -> x.all)))))").alias("sentences"),
+        "k", "mark", F.expr("array_sort(array_distinct(concat(base, flatten(transform(rest, x -> x.all)))))").alias("sentences"),
         F.expr("array_sort(array_distinct(concat(transform(spans, x -> x.first_k), transform(filter(runs, x -> size(x.some) > 0), x -> x.first_k), transform(rest, x -> x.first_k))))").alias("firsts"))
 
 
@@ -177,8 +186,9 @@ def strike(data: bytes, drop: set[int]) -> bytes:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated sentences struck from ``text``; documents that lose all their words stay, without them."""
     name = common.fresh(docs.columns, "_drop")
-    lost = removals(docs, key, text).select(F.col(key).alias(f"{name}k"), F.col("sentences").alias(name))
-    joined = docs.join(lost, docs[key].cast("long").eqNullSafe(lost[f"{name}k"]), "left").drop(f"{name}k")
+    lost = _removals(docs, key, text).select(F.col("k").alias(f"{name}k"), F.col("mark").alias(f"{name}m"), F.col("sentences").alias(name))
+    same = docs[key].cast("long").eqNullSafe(lost[f"{name}k"]) & (mark_of(docs[text]) == lost[f"{name}m"])
+    joined = docs.join(lost, same, "left").drop(f"{name}k", f"{name}m")
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

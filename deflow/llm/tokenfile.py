@@ -149,21 +149,25 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: s
     held = spark.sparkContext.broadcast(dictionary)  # DICTIONARY bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()    # what earlier stages left
         enc, out = encoder(tokenizer_path), None
         part = TaskContext.get().partitionId()
-        for b in common.batches_of(batches, 256):
+        for b in common.batches_of(batches, 64):
             if out is None:
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
                 out = FileWriter(f"{folder}/{name}", held.value, enc.dtype.itemsize)
             for k, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
                 out.add(k, ids + end)
+        common.release()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([name]), pa.array([len(out.keys)], pa.int64()), pa.array([out.tokens[-1]], pa.int64())],
                 names=["part", "file", "documents", "tokens"])
 
-    dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
+    # Rows equal in key and text are dealt by where they were read, so that very many of them are several files.
+    dealt = rows.withColumn("h", F.xxhash64("t")).withColumn("p", F.spark_partition_id()).repartitionByRange("k", "h", "p")
+    dealt = dealt.sortWithinPartitions("k", "h", "t").select("k", "t")
     common.on_workers(dealt).mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 

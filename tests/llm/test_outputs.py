@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from deflow.llm import chat, decontam, fingerprints, langid, mixing, queries, setjoin, tokenfile, tokens
-from tests.llm.conftest import DOCS, ROWS
+from deflow.llm import chat, common, decontam, fingerprints, langid, mixing, queries, setjoin, spans, tokenfile, tokens
+from tests.llm.conftest import DOCS, ROWS, prose
 from tests.llm.test_setjoin import plain
 
 PATH = queries.TOKENIZER
@@ -250,3 +250,26 @@ def test_stages_on_nothing(spark, tiny, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, tiny).count() == 0
     assert DOCS and setjoin.join(empty).count() == 0
+
+
+# ---- rows of one key, samples
+
+def test_samples_are_bounded_for_repeated_keys(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), (F.col("id") % 2).alias("y"), F.lit("t").alias("t"))
+    got = common.hash_sample(rows, "y", F.col("k"), 500).collect()
+    assert {r["y"] for r in got} == {0, 1} and len(got) == 1000
+    assert len({(r["y"], r["k"]) for r in got}) == 1000
+    assert sorted(got) == sorted(common.hash_sample(rows.repartition(7), "y", F.col("k"), 500).collect())
+    assert common.hash_sample(rows.limit(0), "y", F.col("k"), 5).count() == 0
+    assert common.hash_sample(rows.where("k < 20 AND k <> 7"), "y", F.col("k"), 500).count() == rows.where("k < 20 AND k <> 7").select("k", "y").distinct().count()
+
+
+def test_spans_of_rows_without_or_with_one_key(spark):
+    rng = random.Random(1)
+    passage = prose(rng, 60, "abcdefg")
+    clean = prose(rng, 64, "hijklmn")
+    for key in (None, 5):
+        rows = [(key, prose(rng, 30, "opqrst") + "\n" + passage), (key, passage + "\n" + prose(rng, 40, "uvwxyz")), (key, clean)]
+        out = {r["text"] for r in spans.dedup(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()}
+        assert clean in out and len(out) == 3
+        assert sum(passage in t for t in out) == 1
