@@ -21,23 +21,24 @@ from deflow.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-BATCH_ROWS = 500
-DEFAULT_ROWS = "10000"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# What Spark sends to Python at once: its defaults, and what a session that still has them gets.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"),
+         "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 _SHIPPED: set[str] = set()
 
 
 def on_workers(df: DataFrame) -> DataFrame:
     """``df``, after Spark has been given this package for its Python workers, once for each application.
 
-    The driver serves the archive, so executors need neither an installed copy nor a folder in common. Spark
-    counts rows, not bytes, for what it sends to Python at once; rows hold whole texts here, so a session that
-    still has the default gets ``BATCH_ROWS``.
+    The driver serves the archive, so executors need neither an installed copy nor a folder in common. Rows hold
+    whole texts or packed arrays here, so a session that still has Spark's default sizes of a batch gets those of
+    ``BATCH``: either side of the pipe holds a batch and the one being built.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if spark.conf.get(_BATCH, DEFAULT_ROWS) == DEFAULT_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    for name, (default, small) in BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, small)
     if sc.applicationId not in _SHIPPED:
         root = Path(deflow.__file__).parent
         archive = Path(tempfile.mkdtemp(prefix="deflow-")) / "deflow.zip"

@@ -48,12 +48,11 @@ class LanguageModel:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: Column | None = None) -> LanguageModel:
     """Learn from the rows of ``train`` with text and language; at most about ``ROWS`` of each language."""
     key = F.xxhash64(text) if key is None else key
-    rows = train.select(F.col(text).alias("t"), F.col(lang).alias("l"), key.alias("k")).where("t IS NOT NULL AND l IS NOT NULL")
+    rows = train.select(common.window_of(F.col(text), key, STRETCH).alias("t"), F.col(lang).alias("l"), key.alias("k")).where("t IS NOT NULL AND l IS NOT NULL")
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the label column holds something else")
-    sample = common.hash_sample(rows, "l", F.col("k"), ROWS).select(
-        "l", common.window_of(F.col("t"), F.col("k"), STRETCH).alias("t"))
+    sample = common.hash_sample(rows, "l", F.col("k"), ROWS).select("l", "t")
     parts: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["l"], r["t"])):
         parts.setdefault(r["l"], []).append(normal(r["t"]))

@@ -167,6 +167,7 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for b in batches:
             found = [(None, 0) if not len(s) else (np.uint64(name_of(s)).view(np.int64).item(), len(s)) for s in sets_of(common.utf8(b.column(2)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["k", "mark", "ref", "n"])
+        common.release()
 
     own = common.on_workers(docs).select(docs[key].cast("long").alias("k"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("t"))
     return own.mapInArrow(run, "k long, mark long, ref long, n long")
@@ -273,6 +274,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             both = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
                     for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
             yield common.carry(b, ["a", "b", "an", "bn"], common=pa.array(both, pa.int64()))
+        common.release()
 
     return common.on_workers(pairs).join(x, "a").join(y, "b").select("a", "b", "an", "bn", "ae", "be").mapInArrow(run, "a long, b long, an long, bn long, common long")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,9 +136,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: s
     """Write token files of all rows of ``docs`` below ``folder``; the manifest: part, file, documents, tokens."""
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    share: Column = F.lit("all")
-    sample = common.hash_sample(rows.withColumn("g", share), "g", F.xxhash64("k", "t"), TRAIN_ROWS).select(
-        common.window_of(F.col("t"), F.col("k"), TRAIN_TEXT).alias("t")).collect()
+    stretch = rows.select(F.lit("all").alias("g"), F.xxhash64("k", "t").alias("h"), common.window_of(F.col("t"), F.col("k"), TRAIN_TEXT).alias("t"))
+    sample = common.hash_sample(stretch, "g", F.col("h"), TRAIN_ROWS).select("t").collect()
     codec = encoder(tokenizer_path)
     dictionary = train(codec.encode(sorted(r["t"] for r in sample)))
     system, path = place(folder)
