@@ -393,7 +393,8 @@ mx AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNB
 gp AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM mx)
 SELECT doc_id, min(s) AS first_line, max(e) AS last_line FROM gp GROUP BY doc_id, g""")
 def q_hunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = patches.merged_sql(patches.hunks_sql("patch"), f"size({patches.lines('text')})", "40")
+    # The number of lines is bound once; inside the lambda over hunks the text would be split for each of them.
+    m = f"transform(array(size({patches.lines('text')})), n -> {patches.merged_sql(patches.hunks_sql('patch'), 'n', '40')})[0]"
     return doc_patches(spark, sf_dir).select("doc_id", F.explode(F.expr(m)).alias("h")).select(
         "doc_id", F.col("h.s").alias("first_line"), F.col("h.e").alias("last_line"))
 

@@ -9,6 +9,10 @@ variable), so ``[i, i + size)`` is the subtree of node ``i`` and array order is
 Children have fixed places: an assignment has [value, target], a parameter [name, default], a guarded
 statement its condition first, a dereference or call its object first. ``name`` is an identifier or
 attribute name, a comparison's operator, or the annotation text of a parameter or assignment.
+
+Text that does not parse is recovered in a tree of its blocks: a statement whose clauses have sound headers
+keeps them, whatever stands inside, and each of its blocks is recovered in turn; a line of several statements
+is taken apart at its semicolons. Only what is left becomes an ERROR node, at the depth where it stands.
 """
 
 from __future__ import annotations
@@ -39,6 +43,11 @@ CONTINUES = re.compile(rb"(else|elif|except|finally)\b|[)\]}#@]")
 _MARKS = re.compile(rb"""(?P<long>\"\"\"|\'\'\')|(?P<short>["\'])|(?P<comment>\#[^\r\n]*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<skip>\\(?:\r\n|[\s\S]))|(?P<line>\r\n|\r|\n)""")
 _SHORT = {q: re.compile(rb"(?:[^" + q + rb"\\\r\n]|\\(?:\r\n|[\s\S]))*" + q) for q in (b'"', b"'")}
 _LONG = {q: re.compile(rb"(?:[^\\]|\\[\s\S])*?" + q) for q in (b'"""', b"'''")}
+_CUT = re.compile(_MARKS.pattern + rb"|(?P<cut>[:;])")
+_CLAUSE = re.compile(rb"(else|elif|except|finally)\b")
+# Statements of older grammars that say nothing about values: their word, and what follows it.
+_OLD = re.compile(rb"(print|exec)\b[ \t]*(?:>>)?(?![ \t]*[(=.:,\[])(?P<rest>.+)", re.S)
+_KEYWORD = re.compile(rb"[A-Za-z_]\w*[ \t]*(?P<sign>=)(?!=)")
 # Words that begin a statement and never continue an expression: an open bracket before one was never closed.
 _BEGINS = re.compile(rb"[ \t]*(?:def|class|return|import|from|while|with|try|assert|raise|del|pass|break|continue|global|nonlocal)\b")
 
@@ -81,6 +90,14 @@ class _Numberer:
     def __init__(self, lines: _Lines, shift: int):
         self.raw, self.starts, self.shift = lines.raw, lines.starts, shift - 1
         self.nodes, self.slots = [], {}
+        self.keywords: set[int] = set()     # where keyword arguments begin that are comparisons in the tree
+
+    def extent(self, n) -> tuple[int, int]:
+        """Span of a statement, which may be an unreadable one, or one with recovered blocks."""
+        if isinstance(n, tuple):
+            return n[:2]
+        s, e = self.span(n)
+        return s, getattr(n, "end_byte", e)
 
     def span(self, n: ast.AST) -> tuple[int, int]:
         s, d = self.starts, self.shift
@@ -206,6 +223,12 @@ class _Numberer:
                 self.open("identifier", "keyword", c.arg, s, s + len(c.arg.encode()), ctx, top, i)
             self.expr(c.value, "value", ctx, top, i)
             self.close(i)
+        elif self.keywords and c.__class__ is ast.Compare and self.span(c)[0] in self.keywords:
+            s, e = self.span(c)
+            i = self.open("keyword_argument", role, None, s, e, ctx, top, up)
+            self.open("identifier", "keyword", c.left.id, s, self.span(c.left)[1], ctx, top, i)
+            self.expr(c.comparators[0], "value", ctx, top, i)
+            self.close(i)
         elif c.__class__ is ast.arg:
             s = self.span(c)[0]
             self.open("identifier", "lambda", c.arg, s, s + len(c.arg.encode()), ctx, top, up)
@@ -214,8 +237,8 @@ class _Numberer:
 
     # -- statements ----------------------------------------------------------------------------
     def block(self, body, role: str, top: int, up: int) -> None:
-        """``body`` holds parsed statements and ``(start, end)`` spans of unparseable ones."""
-        ends = [b if isinstance(b, tuple) else self.span(b) for b in (body[0], body[-1])]
+        """``body`` holds parsed statements, and others as ``(start, end)``, unreadable, or with a kind behind."""
+        ends = [self.extent(b) for b in (body[0], body[-1])]
         i = self.open("block", role, None, ends[0][0], ends[1][1], role, top, up)
         for b in body:
             self.statement(b, -1 if role == "body_of_function" else top, i)
@@ -223,9 +246,9 @@ class _Numberer:
 
     def statement(self, n, top: int, up: int, kind: str | None = None) -> None:
         if isinstance(n, tuple):
-            self.open("ERROR", "statement", None, *n, "statement", top, up)
+            self.open("ERROR" if len(n) == 2 else n[2], "statement", None, *n[:2], "statement", top, up)
             return
-        cls, (s, e) = n.__class__, self.span(n)
+        cls, (s, e) = n.__class__, self.extent(n)
         kind = kind or STATEMENT_KIND.get(cls.__name__, cls.__name__)
         i = self.open(kind, "statement", None, s, e, "statement", top, up)
         top = i if top < 0 else top
@@ -315,14 +338,14 @@ def _parts(n: ast.AST) -> list[ast.AST]:
     return sorted(flat, key=_place)
 
 
-def _function(lines: _Lines, n, shift: int, body=None) -> dict:
+def _function(lines: _Lines, n, shift: int, body=None, keywords: set[int] | None = None) -> dict:
     num = _Numberer(lines, shift)
+    num.keywords = keywords or set()
     num.parameters(n.args)
     num.block(body if body is not None else n.body, "body_of_function", -1, -1)
     s, e = num.span(n)
     if body is not None:
-        last = body[-1]
-        e = last[1] if isinstance(last, tuple) else num.span(last)[1]
+        e = num.extent(body[-1])[1]
     return {"name": n.name, "s": s, "e": e, "nodes": num.nodes}
 
 
@@ -348,29 +371,187 @@ def _chunks(lines: _Lines, logical: list[bool], first: int, last: int, indent: i
     return list(zip(cuts, cuts[1:] + [last]))
 
 
-def _recover(lines: _Lines, logical: list[bool], first: int, last: int) -> dict | None:
-    """A broken ``def``: keep its header if that parses and turn bad statements into ERROR spans."""
-    stop = next((i for i in range(first + 1, last) if logical[i]), last)
-    try:
-        n = _parse(lines.text(first, stop).rstrip() + b" pass").body[0]
-    except FAILURES:
-        return None
-    shown = [i for i in range(stop, last) if lines.text(i, i + 1).strip()]
-    if not shown:
+def _blank(raw: bytes) -> bytes:
+    """White space of the same shape, so that what follows keeps its place."""
+    return re.sub(rb"[^\r\n]", b" ", raw)
+
+
+def _cuts(raw: bytes, mark: bytes) -> list[int]:
+    """Places of ``mark`` outside of brackets and strings."""
+    out, depth, at = [], 0, 0
+    while m := _CUT.search(raw, at):
+        at, kind = m.end(), m.lastgroup
+        if kind in ("long", "short"):
+            end = (_LONG if kind == "long" else _SHORT)[m.group()].match(raw, at)
+            at = end.end() if end else at
+        elif kind in ("open", "close"):
+            depth = max(0, depth + (1 if kind == "open" else -1))
+        elif kind == "cut" and not depth and m.group() == mark:
+            out.append(m.start())
+    return out
+
+
+class _Recovery:
+    """Statements of one broken function, whose first line is ``first``."""
+
+    def __init__(self, lines: _Lines, logical: list[bool], first: int):
+        self.lines, self.logical, self.first = lines, logical, first
+        self.keywords: set[int] = set()
+
+    def read(self, raw: bytes, line: int) -> list[ast.stmt] | None:
+        """The statements of ``raw``, indented text that begins with line ``line``."""
+        try:
+            found = _parse(b"if 1:\n" + raw).body[0].body
+        except FAILURES:
+            return None
+        for s in found:
+            ast.increment_lineno(s, line - 1 - self.first)
+        return found
+
+    def below(self, line: int, last: int) -> list:
+        """The statements of a block that begins behind ``line``."""
+        begin, out = self.shown(line, last), []
+        if begin is not None:
+            t = self.lines.text(begin, begin + 1)
+            for a, b in _chunks(self.lines, self.logical, begin, last, len(t) - len(t.lstrip(b" \t"))):
+                out += self.chunk(a, b)
+        return out
+
+    def shown(self, line: int, last: int) -> int | None:
+        """The first line from ``line`` on that begins a statement."""
+        return next((i for i in range(line, last) if self.logical[i] and self.lines.text(i, i + 1).strip() and not self.lines.text(i, i + 1).lstrip().startswith(b"#")), None)
+
+    def chunk(self, a: int, b: int) -> list:
+        """One statement with all that belongs to it, in the largest parts that can be read."""
+        raw = self.lines.text(a, b)
+        found = self.read(raw, a)
+        if found is None:
+            try:
+                found = self.clauses(a, b)
+            except RecursionError:      # blocks nested deeper than anyone writes them
+                found = None
+        if found is None:
+            found = self.line(raw, a, 0) if self.shown(self.end_of(a, b), b) is None else None
+        return found if found is not None else [self.error(a, raw)]
+
+    def error(self, line: int, raw: bytes, kind: str | None = None) -> tuple:
+        at = self.lines.starts[line]
+        span = at + len(raw) - len(raw.lstrip()), at + len(raw.rstrip())
+        return span if kind is None else (*span, kind)
+
+    def end_of(self, a: int, b: int) -> int:
+        """The line behind the logical line that begins with line ``a``."""
+        return next((i for i in range(a + 1, b) if self.logical[i]), b)
+
+    def clauses(self, a: int, b: int) -> list | None:
+        """A compound statement with recovered blocks; None where its first header cannot be read."""
+        t = self.lines.text(a, a + 1)
+        indent = len(t) - len(t.lstrip(b" \t"))
+        begins = [a] + [i for i in range(a + 1, b) if self.logical[i] and _CLAUSE.match(x := self.lines.text(i, i + 1).lstrip(b" \t")) and len(self.lines.text(i, i + 1)) - len(x) <= indent]
+        shape, blocks, rest = b"", [], []
+        for i, j in zip(begins, begins[1:] + [b]):
+            stop = self.end_of(i, j)
+            head, tail = self.lines.text(i, stop), self.lines.text(stop, j)
+            for cut in _cuts(head, b":"):
+                line_end = head[cut + 1:]
+                own = head[:cut + 1] + b" pass" + b"".join(re.findall(rb"\r\n|\r|\n", line_end))
+                if self.whole(shape + own, a, indent):
+                    break
+            else:
+                if i == a:
+                    return None
+                rest = [self.error(i, self.lines.text(i, b))]
+                break
+            inline = line_end.strip() and not line_end.strip().startswith(b"#")
+            blocks.append(self.line(head, i, cut + 1) if inline else self.below(stop, j))
+            shape += own + _blank(tail)
+        n = self.whole(shape, a, indent)
+        self.fill(n, blocks)
+        return [n, *rest]
+
+    def whole(self, shape: bytes, line: int, indent: int) -> ast.stmt | None:
+        """The one statement of ``shape``; a ``try`` may still lack the clauses behind it."""
+        for more in (b"", b"\n" + b" " * indent + b"finally: pass"):
+            found = self.read(shape + more, line)
+            if found is not None and len(found) == 1:
+                return found[0]
         return None
-    t = lines.text(shown[0], shown[0] + 1)
-    indent = len(t) - len(t.lstrip(b" \t"))
-    body = []
-    for a, b in _chunks(lines, logical, shown[0], last, indent):
-        raw = lines.text(a, b)
+
+    def fill(self, n: ast.stmt, blocks: list[list]) -> None:
+        """Put the recovered blocks of a branch or loop in their places; other statements show none."""
+        chain = [n]
+        for k, block in enumerate(blocks):
+            if not block or not isinstance(n, (ast.If, ast.While, ast.For, ast.AsyncFor)):
+                continue
+            if k == 0:
+                n.body = block
+            elif isinstance(n, ast.If) and len(n.orelse) == 1 and isinstance(n.orelse[0], ast.If):
+                n = n.orelse[0]     # an elif clause
+                n.body = block
+                chain.append(n)
+            else:
+                n.orelse = block
+        last = next((b[-1] for b in reversed(blocks) if b), None)
+        if last is not None:
+            for n in chain:
+                n.end_byte = _Numberer(self.lines, self.first).extent(last)[1]
+
+    def line(self, raw: bytes, line: int, begin: int) -> list:
+        """The simple statements of a logical line from byte ``begin`` on, each read for itself."""
+        ends = [begin - 1, *(c for c in _cuts(raw, b";") if c >= begin), len(raw)]
+        out = []
+        for p, q in zip(ends, ends[1:]):
+            piece = raw[p + 1:q]
+            if not piece.strip() or piece.strip().startswith(b"#"):
+                continue
+            before = _blank(raw[:p + 1])
+            found = self.read(before + piece, line)
+            out += found if found is not None else self.foreign(before, piece, line)
+        return out
+
+    def foreign(self, before: bytes, piece: bytes, line: int) -> list:
+        """Statements that other grammars of the language take; else the piece is an error."""
+        old = _OLD.match(piece.strip())
+        if old and self.read(b" (" + old["rest"].strip().rstrip(b",") + b")", line):
+            return [self.error(line, before + piece, f"{old[1].decode()}_statement")]
+        # A positional argument behind a keyword argument: the sign becomes one that may stand there.
+        text, marks = bytearray(before + piece), set()
+        for m in _KEYWORD.finditer(before + piece):
+            if not _outside(before + piece, m.start()):
+                text[m.start("sign")] = ord("<")
+                marks.add(self.lines.starts[line] + m.start())
+        found = self.read(bytes(text), line) if marks else None
+        if not found:
+            return [self.error(line, before + piece)]
+        num, seen = _Numberer(self.lines, self.first), set()
+        for c in (x for s in found for c in ast.walk(s) if isinstance(c, ast.Call) for x in c.args):
+            if isinstance(c, ast.Compare) and len(c.ops) == 1 and isinstance(c.left, ast.Name) and num.span(c)[0] in marks:
+                seen.add(num.span(c)[0])
+        if seen != marks:   # some sign stood in a place where it means something else
+            return [self.error(line, before + piece)]
+        self.keywords |= marks
+        return found
+
+
+def _outside(raw: bytes, at: int) -> bool:
+    """Whether byte ``at`` stands outside of brackets (and of strings)."""
+    return at in _cuts(raw[:at] + b";" + raw[at:], b";")
+
+
+def _recover(lines: _Lines, logical: list[bool], first: int, last: int) -> dict | None:
+    """A broken ``def``: keep its header if that parses, and recover what stands below it."""
+    r = _Recovery(lines, logical, first)
+    stop = r.end_of(first, last)
+    head = lines.text(first, stop)
+    for cut in _cuts(head, b":"):
         try:
-            for s in _parse(b"if 1:\n" + raw).body[0].body:
-                ast.increment_lineno(s, a - 1 - first)
-                body.append(s)
+            n = _parse(head[:cut + 1] + b" pass").body[0]
         except FAILURES:
-            lead = len(raw) - len(raw.lstrip())
-            body.append((lines.starts[a] + lead, lines.starts[a] + len(raw.rstrip())))
-    return _function(lines, n, first, body) if body else None
+            continue
+        rest = head[cut + 1:].strip()
+        body = r.line(head, first, cut + 1) if rest and not rest.startswith(b"#") else r.below(stop, last)
+        return _function(lines, n, first, body, r.keywords) if body else None
+    return None
 
 
 def read_functions(text: str) -> tuple[list[dict], list[tuple[int, int]]]:

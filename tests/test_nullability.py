@@ -57,7 +57,7 @@ CASES = {
     "try": ({"a": HEAD + "    try:\n        x.a\n    except E:\n        pass\n    x.b\n"}, set()),
     "with": ({"a": HEAD + "    with x.a:\n        pass\n    x.b\n"}, set()),
     "broken statement": ({"a": HEAD + "    z x\n    return x.a\n"}, set()),
-    "broken neighbour": ({"a": "def g(d):\n    r = {k v for k, v in d}\n    return r\n\ndef v():\n    return None\n\ndef f():\n    y = v()\n    return y.a\n"}, {("a", "y", "attribute", 1)}),
+    "broken neighbour": ({"a": "def g(d):\n    r = d +* [2\n    return r\n\ndef v():\n    return None\n\ndef f():\n    y = v()\n    return y.a\n"}, {("a", "y", "attribute", 1)}),
     "broken header": ({"a": "def g(:\n    pass\n\ndef f():\n    x = None\n    x.a\n"}, {("a", "x", "attribute", 1)}),
     "decorated and nested": ({"a": "@d\ndef f():\n    x = None\n    x.a\n\nclass C:\n    def m(self):\n        y = None\n        y.a\n\ndef o():\n    def i():\n        z = None\n        z.a\n"}, set()),
     "not ascii": ({"a": "def f():\n    s = 'äöü'\n    x = None\n    x.a\n"}, {("a", "x", "attribute", 1)}),
