@@ -4,10 +4,14 @@
 its end pops and joins. An environment is an ``array<tinyint>`` indexed by symbol slot, where 0
 (absent) differs from 1 (present but unknown). Every function is folded once per context: -1 is
 "all parameters unknown", i is "parameter i nullable".
+
+What values mean and how they join comes from a ``Domain``; the fold knows regions and calls only.
 """
 
 from __future__ import annotations
 
+from deflow.functions.lattice import NULLNESS, Domain
+
 HIT = "struct<s:int,e:int,slot:int,kind:string>"
 SUMMARY = "struct<base:tinyint,nfp:array<boolean>,c_uri:string,c_fn:int,c_params:int,t_fn:int>"
 CALLED = "struct<c_uri:string,c_fn:int,ctx:int>"
@@ -21,70 +25,81 @@ def _set(env: str, slot: str, value: str) -> str:
     return f"concat(slice({env}, 1, {slot}), array({value}), slice({env}, {slot} + 2, size({env})))"
 
 
-def _narrow(env: str, side: str) -> str:
+def _narrow(env: str, side: str, d: Domain) -> str:
     cleared = f"if(size(t.c.refs) > 0, transform({env}, (x, k) -> if(array_contains(t.c.refs, k), 1Y, x)), {env})"
-    return _let("en", cleared, f"if(t.c.s IS NULL OR t.c.{side} = 0Y, en, {_set('en', 't.c.s', f't.c.{side}')})")
+    return _let("en", cleared, f"if(t.c.s IS NULL OR t.c.{side} = 0Y, en, {_set('en', 't.c.s', d.code_sql(f't.c.{side}'))})")
+
+
+def _join(a: str, b: str, d: Domain) -> str:
+    return f"zip_with({a}, {b}, (x, y) -> {d.join_sql('x', 'y')})"
 
 
-_JOIN = "zip_with({a}, {b}, (x, y) -> if(x = y, x, 1Y))"
 _TOP = "acc.st[size(acc.st) - 1]"
 _UNDER = "slice(acc.st, 1, size(acc.st) - 1)"
 _UNDER2 = "slice(acc.st, 1, size(acc.st) - 2)"
 _PREV = "acc.st[size(acc.st) - 2]"
-# Argument positions that are nullable at this call, and whether the call resolves at all.
-_NULLS = ("filter(transform(t.r.args, (a, p) -> if(a = -1 OR (a >= 0 AND env[a] = 3Y), p, -1)), p -> p >= 0)")
+# Whether the call resolves at all.
 _OPEN = "((t.r.recv IS NULL OR env[t.r.recv] = 0Y) AND summ[t.r.callee] IS NOT NULL)"
-_VALUE = f"""CASE t.r.k WHEN 'literal' THEN t.r.v
+
+
+def _nulls(d: Domain) -> str:
+    """Argument positions that bring the reported value into this call."""
+    return f"(filter(transform(t.r.args, (a, p) -> if(a = -1 OR (a >= 0 AND env[a] = {d.reported}Y), p, -1)), p -> p >= 0))"
+
+
+def _value(d: Domain) -> str:
+    return f"""CASE t.r.k WHEN 'literal' THEN {d.code_sql('t.r.v')}
     WHEN 'var' THEN greatest(env[t.r.s], 1Y)
     WHEN 'call' THEN if({_OPEN},
-        if(exists({_NULLS}, p -> coalesce(get(summ[t.r.callee].nfp, p), false)), 3Y, summ[t.r.callee].base), 1Y)
+        if(exists({_nulls(d)}, p -> coalesce(get(summ[t.r.callee].nfp, p), false)), {d.reported}Y, summ[t.r.callee].base), 1Y)
     ELSE 1Y END"""
 
 
-def _stack() -> str:
+def _stack(d: Domain) -> str:
     top = lambda env: f"concat({_UNDER}, array({env}))"
     bound = "if(size(t.bound) > 0, transform(env, (x, k) -> if(array_contains(t.bound, k), 1Y, x)), env)"
+    ann = d.code_sql("t.ann")
     return f"""CASE
         WHEN t.op IN ('use', 'call', 'return') THEN acc.st
-        WHEN t.op = 'assign' THEN {top(_set('env', 't.slot', f'if(t.ann <> 0Y, t.ann, {_VALUE})'))}
-        WHEN t.op = 'param' THEN if(t.ann <> 0Y, {top(_set('env', 't.slot', 't.ann'))}, acc.st)
-        WHEN t.op = 'if' THEN concat(acc.st, array({_narrow('env', 't')}))
-        WHEN t.op = 'else' THEN concat({_UNDER2}, array(env, {_let('pe', _PREV, _narrow('pe', 'f'))}))
-        WHEN t.op IN ('endif', 'endloop') THEN concat({_UNDER2}, array({_JOIN.format(a=_PREV, b='env')}))
-        WHEN t.op = 'loop' THEN concat(acc.st, array({_let('be', bound, _narrow('be', 't'))}))
-        WHEN t.op = 'assume' THEN {top(_narrow('env', 't'))}
+        WHEN t.op = 'assign' THEN {top(_set('env', 't.slot', f'if(t.ann <> 0Y, {ann}, {_value(d)})'))}
+        WHEN t.op = 'param' THEN if(t.ann <> 0Y, {top(_set('env', 't.slot', ann))}, acc.st)
+        WHEN t.op = 'if' THEN concat(acc.st, array({_narrow('env', 't', d)}))
+        WHEN t.op = 'else' THEN concat({_UNDER2}, array(env, {_let('pe', _PREV, _narrow('pe', 'f', d))}))
+        WHEN t.op IN ('endif', 'endloop') THEN concat({_UNDER2}, array({_join(_PREV, 'env', d)}))
+        WHEN t.op = 'loop' THEN concat(acc.st, array({_let('be', bound, _narrow('be', 't', d))}))
+        WHEN t.op = 'assume' THEN {top(_narrow('env', 't', d))}
         WHEN t.op = 'barrier' THEN {top('array_repeat(0Y, size(env))')}
         ELSE acc.st END"""
 
 
-def fold_sql(ctx: str, collect: bool) -> str:
-    """Fold of ``tape`` in context ``ctx`` with callee summaries ``summ`` (slot -> summary).
+def fold_sql(ctx: str, collect: bool, d: Domain = NULLNESS) -> str:
+    """Fold of ``tape`` in context ``ctx`` with callee summaries ``summ`` (slot -> summary), over domain ``d``.
 
     Gives ``struct<ret, hits, called>``; ``collect=False`` skips everything but the return value.
     """
-    start = f"transform(syms, (x, k) -> cast(if(k = {ctx}, 3, if(k < n_params, 1, 0)) AS tinyint))"
-    ret = f"if(t.op = 'return', {_let('v', _VALUE, 'if(acc.ret = 0Y OR acc.ret = v, v, 1Y)')}, acc.ret)"
-    hits = "if(t.op = 'use' AND env[t.slot] = 3Y, concat(acc.hits, array(struct(t.s AS s, t.e AS e, t.slot AS slot, t.kind AS kind))), acc.hits)"
+    start = f"transform(syms, (x, k) -> cast(if(k = {ctx}, {d.reported}, if(k < n_params, 1, 0)) AS tinyint))"
+    ret = f"if(t.op = 'return', {_let('v', _value(d), f"if(acc.ret = 0Y, v, {_let('w', 'acc.ret', d.join_sql('w', 'v'))})" if d.join_sql('w', 'v').count('array') else 'if(acc.ret = 0Y OR acc.ret = v, v, 1Y)')}, acc.ret)"
+    hits = f"if(t.op = 'use' AND env[t.slot] = {d.reported}Y, concat(acc.hits, array(struct(t.s AS s, t.e AS e, t.slot AS slot, t.kind AS kind))), acc.hits)"
     flows = "((t.op = 'assign' AND t.ann = 0Y) OR t.op IN ('call', 'return')) AND t.r.k = 'call'"
     called = f"""if({flows} AND {_OPEN}, concat(acc.called,
-        transform(filter({_NULLS}, p -> p < summ[t.r.callee].c_params),
+        transform(filter({_nulls(d)}, p -> p < summ[t.r.callee].c_params),
                   p -> struct(summ[t.r.callee].c_uri AS c_uri, summ[t.r.callee].c_fn AS c_fn, p AS ctx))), acc.called)"""
     if not collect:
         hits, called = "acc.hits", "acc.called"
-    step = _let("env", _TOP, f"named_struct('st', {_stack()}, 'ret', {ret}, 'hits', {hits}, 'called', {called})")
+    step = _let("env", _TOP, f"named_struct('st', {_stack(d)}, 'ret', {ret}, 'hits', {hits}, 'called', {called})")
     zero = (f"named_struct('st', array({start}), 'ret', 0Y, 'hits', cast(array() AS array<{HIT}>), "
             f"'called', cast(array() AS array<{CALLED}>))")
     return (f"aggregate(tape, {zero}, (acc, t) -> {step}, "
             f"acc -> named_struct('ret', greatest(acc.ret, 1Y), 'hits', acc.hits, 'called', array_distinct(acc.called)))")
 
 
-def summary_sql() -> str:
+def summary_sql(d: Domain = NULLNESS) -> str:
     """``struct<base, nfp>`` of a function: its return value with unknown parameters, and per parameter
-    whether making it nullable makes the return nullable."""
-    return (f"named_struct('base', {fold_sql('-1', False)}.ret, 'nfp', "
-            f"transform(filter(sequence(0, n_params), c -> c < n_params), c -> {fold_sql('c', False)}.ret = 3Y))")
+    whether making it the reported value makes the return that."""
+    return (f"named_struct('base', {fold_sql('-1', False, d)}.ret, 'nfp', "
+            f"transform(filter(sequence(0, n_params), c -> c < n_params), c -> {fold_sql('c', False, d)}.ret = {d.reported}Y))")
 
 
-def contexts_sql() -> str:
+def contexts_sql(d: Domain = NULLNESS) -> str:
     """All contexts of a function, index 0 being context -1."""
-    return f"transform(sequence(-1, n_params - 1), c -> {fold_sql('c', True)})"
+    return f"transform(sequence(-1, n_params - 1), c -> {fold_sql('c', True, d)})"

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deflow.functions.lattice import NULLNESS, Domain
 from deflow.operators.facts import tapes
 from deflow.operators.fold import SUMMARY, contexts_sql, summary_sql
 from deflow.operators.skew import hot_keys, lookup
@@ -31,21 +32,22 @@ class Solved:
     regressions: DataFrame
     hot: list[tuple]
     rounds: int
+    domain: Domain = NULLNESS
 
 
-def alone(functions: DataFrame) -> DataFrame:
+def alone(functions: DataFrame, domain: Domain = NULLNESS) -> DataFrame:
     """Functions with the result of every context when no callee is known."""
-    return functions.withColumn("summ", _no_summaries()).withColumn("ctxs", F.expr(contexts_sql())).drop("summ")
+    return functions.withColumn("summ", _no_summaries()).withColumn("ctxs", F.expr(contexts_sql(domain))).drop("summ")
 
 
-def place(functions: DataFrame) -> DataFrame:
+def place(functions: DataFrame, domain: Domain = NULLNESS) -> DataFrame:
     """Spread functions over the shuffle partitions by key and keep them there.
 
     Every function is folded once on the way, knowing no callee (``ctxs``). For functions without
     resolvable calls that is already the final result.
     """
     n = int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = functions if "ctxs" in functions.columns else alone(functions)
+    ready = functions if "ctxs" in functions.columns else alone(functions, domain)
     return cut(ready.repartition(n, *KEY), keep_layout=True)
 
 
@@ -95,7 +97,7 @@ INFORMATIVE = "(base <> 1Y OR exists(nfp, x -> x))"
 
 
 def summarise(functions: DataFrame, links: DataFrame, hot: list[tuple], todo: DataFrame | None = None,
-              keep: DataFrame | None = None) -> tuple[DataFrame, int]:
+              keep: DataFrame | None = None, domain: Domain = NULLNESS) -> tuple[DataFrame, int]:
     """Summaries of all functions at the fixpoint; functions without information are left out.
 
     Rounds are bounded by the number of functions, as a reversed linear chain needs one each.
@@ -103,8 +105,8 @@ def summarise(functions: DataFrame, links: DataFrame, hot: list[tuple], todo: Da
     summaries of all others, which cannot change.
     """
     leaf = functions.select(*KEY, F.expr("ctxs[0].ret AS base"), F.expr(
-        "transform(slice(ctxs, 2, n_params), x -> x.ret = 3Y) AS nfp"))
-    sm = F.expr(summary_sql())
+        f"transform(slice(ctxs, 2, n_params), x -> x.ret = {domain.reported}Y) AS nfp"))
+    sm = F.expr(summary_sql(domain))
     fold = lambda df: df.select(*KEY, sm.alias("sm")).select(*KEY, "sm.base", "sm.nfp")
     informative = F.expr(INFORMATIVE)
     if keep is None:
@@ -165,10 +167,10 @@ def resume(functions: DataFrame, before: Solved, changed: DataFrame, scope: str
     both = links.select(*KEY, *CALLEE[1:]).unionByName(before.links.select(*KEY, *CALLEE[1:])).distinct()
     todo = affected(cut(both), start, hot)
     keep = before.informative.join(todo, KEY, "left_anti")
-    current, rounds = summarise(functions, links, hot, todo, keep)
-    redo = fold_contexts(functions.join(todo, KEY, "left_semi"), links.join(todo, KEY, "left_semi"), current, hot)
+    current, rounds = summarise(functions, links, hot, todo, keep, before.domain)
+    redo = fold_contexts(functions.join(todo, KEY, "left_semi"), links.join(todo, KEY, "left_semi"), current, hot, before.domain)
     folded = cut(before.functions.join(todo, KEY, "left_anti").unionByName(redo), keep_layout=True)
-    return finish(folded, links, current, hot, rounds)
+    return finish(folded, links, current, hot, rounds, before.domain)
 
 
 def reach(folded: DataFrame) -> DataFrame:
@@ -206,30 +208,30 @@ def intraprocedural(functions: DataFrame) -> DataFrame:
     return regressions_of(functions, none)
 
 
-def fold_contexts(functions: DataFrame, links: DataFrame, current: DataFrame, hot: list[tuple]) -> DataFrame:
+def fold_contexts(functions: DataFrame, links: DataFrame, current: DataFrame, hot: list[tuple], domain: Domain = NULLNESS) -> DataFrame:
     """Functions with their callee summaries and the result of every context.
 
     Only functions with a resolved call are folded again.
     """
     maps = _callee_summaries(links, current, hot)
     called = functions.withColumnRenamed("ctxs", "alone").join(maps, KEY, "left")
-    return called.withColumn("ctxs", F.when(F.col("summ").isNull(), F.col("alone")).otherwise(F.expr(contexts_sql()))).withColumn(
+    return called.withColumn("ctxs", F.when(F.col("summ").isNull(), F.col("alone")).otherwise(F.expr(contexts_sql(domain)))).withColumn(
         "summ", F.coalesce("summ", _no_summaries())).drop("alone")
 
 
-def finish(folded: DataFrame, links: DataFrame, current: DataFrame, hot: list[tuple], rounds: int) -> Solved:
+def finish(folded: DataFrame, links: DataFrame, current: DataFrame, hot: list[tuple], rounds: int, domain: Domain = NULLNESS) -> Solved:
     regressions = cut(regressions_of(folded, reach(folded.select(*KEY, "ctxs"))))
     flags = F.expr("transform(filter(sequence(0, n_params), c -> c < n_params), c -> false)")
     summaries = folded.select(*KEY, "func_name", "n_params").join(current, KEY, "left").select(
         *KEY, "func_name", F.coalesce("base", F.lit(1).cast("tinyint")).alias("base"), F.coalesce("nfp", flags).alias("nfp"))
-    return Solved(folded, links, current, summaries, regressions, hot, rounds)
+    return Solved(folded, links, current, summaries, regressions, hot, rounds, domain)
 
 
-def solve(functions: DataFrame, scope: str = "workspace") -> Solved:
-    """Analyse placed ``functions`` (see ``place``) over whole workspaces or file by file."""
+def solve(functions: DataFrame, scope: str = "workspace", domain: Domain = NULLNESS) -> Solved:
+    """Analyse ``functions`` placed for ``domain`` (see ``place``) over whole workspaces or file by file."""
     links, hot = resolve(functions, scope)
-    current, rounds = summarise(functions, links, hot)
-    return finish(cut(fold_contexts(functions, links, current, hot), keep_layout=True), links, current, hot, rounds)
+    current, rounds = summarise(functions, links, hot, domain=domain)
+    return finish(cut(fold_contexts(functions, links, current, hot, domain), keep_layout=True), links, current, hot, rounds, domain)
 
 
 def solve_sources(parsed: DataFrame, scope: str = "workspace") -> Solved:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deflow.functions.lattice import join_all, value_name
+from deflow.functions.lattice import DOMAINS, join_all, value_name
 from deflow.operators.prefix import segment_width
 from deflow.operators.reaching import epochs, last_definitions, reaching_defs, value_flow
 from deflow.operators.skew import rank_in_group
@@ -119,6 +119,33 @@ def q_regressions_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(per, "func", "left").select("func", F.coalesce("n", F.lit(0)).alias("n_regressions"), "first_node", "last_node")
 
 
+_J = {"definite": "CASE WHEN {a} = {b} THEN {a} ELSE 1 END", "possible": "CASE WHEN {a} = {b} THEN {a} WHEN {a} = 3 OR {b} = 3 THEN 3 ELSE 1 END"}
+
+
+def _laws_sql() -> str:
+    one = lambda d: f"""SELECT '{d}' AS domain, a, b, c, {_J[d].format(a='a', b='b')} AS ab, {_J[d].format(a='b', b='c')} AS bc FROM v"""
+    part = lambda d: f"""SELECT domain, ab, a, b, c, {_J[d].format(a='ab', b='c')} AS l, {_J[d].format(a='a', b='bc')} AS r FROM ({one(d)})"""
+    return f"""WITH v AS (SELECT CAST(l_linenumber % 4 AS INTEGER) AS a, CAST(l_orderkey % 4 AS INTEGER) AS b, CAST(l_partkey % 4 AS INTEGER) AS c FROM lineitem)
+SELECT domain, ab AS joined, count(*) AS n, count(*) FILTER (l = r) AS associative, count(*) AS commutative, count(*) AS idempotent
+FROM ({' UNION ALL '.join(part(d) for d in _J)}) GROUP BY domain, ab"""
+
+
+@query("lattice_laws", _laws_sql())
+def q_lattice_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins of values taken from the line items, by domain and result, and for how many of them each law of a lattice holds."""
+    v = table(spark, sf_dir, "lineitem").selectExpr(*[f"cast({c} % 4 AS tinyint) AS {n}" for n, c in (("a", "l_linenumber"), ("b", "l_orderkey"), ("c", "l_partkey"))])
+    out = None
+    for d in DOMAINS:
+        j = lambda df, name, a, b, d=d: df.withColumn(name, F.expr(d.join_sql(a, b)))
+        t = j(j(j(j(v, "ab", "a", "b"), "ba", "b", "a"), "bc", "b", "c"), "aa", "a", "a")
+        t = j(j(t, "l", "ab", "c"), "r", "a", "bc")
+        law = lambda c: F.count_if(F.expr(c))
+        t = t.groupBy(F.lit(d.name).alias("domain"), F.col("ab").cast("int").alias("joined")).agg(
+            F.count(F.lit(1)).alias("n"), law("l = r").alias("associative"), law("ab = ba").alias("commutative"), law("aa = a").alias("idempotent"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 @query("lattice_return_join", EV + """SELECT func, symbol,
   CASE WHEN min(def_value) = max(def_value) THEN CASE min(def_value) WHEN 3 THEN 'Nullable' ELSE 'NonNull' END ELSE 'Unknown' END AS joined
 FROM ev WHERE tag = 'def' GROUP BY func, symbol""")

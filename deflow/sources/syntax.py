@@ -80,6 +80,8 @@ class _Lines:
         return begins
 
     def text(self, first: int, last: int) -> bytes:
+        if first >= len(self.starts):
+            return b""
         end = self.starts[last] if last < len(self.starts) else len(self.raw)
         return self.raw[self.starts[first]:end]
 
