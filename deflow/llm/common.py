@@ -24,6 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # What Spark sends to Python at once: its defaults, and what a session that still has them gets.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"),
          "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+ROW_GROUP = 32 << 20    # bytes of a row group of an intermediate table
 _SHIPPED: set[str] = set()
 
 
@@ -62,7 +63,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    # Small row groups: a writer holds one in memory, and such a table is read as a whole anyway.
+    df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -99,7 +101,10 @@ def window_of(text: Column, key: Column, size: int, salt: int = 0) -> Column:
 
 
 def release() -> None:
-    """Give freed memory of this process back to the system, so that a worker's next task starts small."""
+    """Give memory of this process that is not in use back to the system, so that a worker's next task starts small."""
+    from deflow.llm import words
+
+    words.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

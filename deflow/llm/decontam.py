@@ -181,5 +181,6 @@ def _free_of(held: Broadcast, coverage: float):
         for b in batches:
             texts = common.utf8(b)
             yield pa.array([not f for x, y in portions(texts) for f in contained(split(texts[x:y], True), held.value, coverage)], pa.bool_())
+        common.release()
 
     return free

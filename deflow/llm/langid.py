@@ -84,6 +84,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
                 gap = 1.0 if len(order) == 1 else float((sizes[order[1]] - best) / sizes[order[1]])
                 pred.append(languages[order[0]]), score.append(gap), good.append(gap >= margin)
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(good, pa.bool_())], names=["pred", "score", "good"])
+        common.release()
 
     # Only texts go to Python; what is kept stays in the JVM. Marked so that a filter is not evaluated anew.
     made = common.fresh(docs.columns, "_lang")

@@ -50,9 +50,19 @@ class _Powers:
         return self.up, self.down
 
 
+    def forget(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_STEP)
 
 
+def forget() -> None:
+    """Drop the tables of powers; they are grown again when needed."""
+    _BYTES.forget()
+    _WORDS.forget()
+
+
 @dataclass
 class Words:
     """All words of a batch in order; ``first[d]`` to ``first[d + 1]`` are those of text d."""
