@@ -14,7 +14,7 @@ _RUNS = ("  ", " \n", "\n ", "\n\n")
 _JOINED = re.compile(r"[.,](?<=[\W_][.,])(?=\s|\Z)")   # a stop that belongs to a run of other marks
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 _WORD = re.compile(r" ?[^\W\d_]+").fullmatch
-REMEMBERED = 400_000    # words kept by one worker (about 200 bytes each); beyond that only short ones stay,
+REMEMBERED = 300_000    # words kept by one worker (about 200 bytes each); beyond that only short ones stay,
 SHORT = 8               # which are those that come again; half as many of them at most
 
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
