@@ -88,6 +88,51 @@ def test_language_without_labels(spark, docs):
     assert {r["lang_pred"] for r in one.collect()} == {"xx", "und"}
 
 
+def plain_languages(rows, models):
+    """Each text's language, score and acceptance, with one compressor call per piece and no blocks."""
+    import zstandard
+
+    known = [(n, c, d) for m in models for n, c, d in zip(m.languages, m.counts, m.dictionaries)]
+    params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+    tools = []
+    for n, c, d in known:
+        d = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(langid.LEVEL)
+        tools.append((n, c, zstandard.ZstdCompressor(compression_params=params, dict_data=d)))
+    out = []
+    for t in rows:
+        if t is None or not known or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0, False))
+            continue
+        data = langid.normal(t)
+        order = sorted((sum(len(z.compress(data[i:i + 1024])) for i in range(0, len(data), 1024)), -c, n) for n, c, z in tools)
+        score = 1.0 if len(order) == 1 else (order[1][0] - order[0][0]) / order[1][0]
+        out.append((order[0][2], score, score >= langid.MARGIN))
+    return out
+
+
+def test_language_against_plain(spark, docs, monkeypatch):
+    """Scores recomputed from the dictionaries; with blocks of any size, languages and results are the same."""
+    train = docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 4).cast("string")))
+    whole = list(langid.fit(train))
+    assert [len(m.languages) for m in whole] == [7]
+    want = sorted(plain_languages([r[1] for r in ROWS], whole))
+    got = lambda models: sorted((r["lang_pred"], r["score"], r["lang_ok"]) for r in langid.predict(docs, models).collect())
+    assert got(whole) == want
+    monkeypatch.setattr(langid, "BLOCK", 1)
+    parts = list(langid.fit(train))
+    assert 1 < len(parts) <= 7 and {n for m in parts for n in m.languages} == set(whole[0].languages)
+    assert got(parts) == want
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}qx " * 20, f"l{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    models = list(langid.fit(df, key=F.col("doc_id")))
+    assert len(models) == 2 and len(set(models[0].languages) & set(models[1].languages)) == 0 and sum(len(m.languages) for m in models) == 300
+    assert all(r["lang_pred"] == r["lang"] for r in langid.predict(df, models).collect())
+
+
 def test_sizes_cover_the_whole_text():
     z = Sizer([b"abc def " * 50, b"xyz uvw " * 50], 3, 64)
     a, b = z.sizes(b"abc def " * 1000), z.sizes(b"abc def " * 2000)
