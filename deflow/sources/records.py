@@ -1,4 +1,4 @@
-"""Experiment records on disk: explicit schemas, tolerant readers, overwrite and upsert sinks."""
+"""Experiment records on disk: explicit schemas, tolerant readers, versioned sets and upserts."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from deflow.sources.store import RecordStore
+
 LABELED = """instance_id string, repo string, base_commit string, problem_statement string, patch string, patch_source string,
  fail_to_pass array<string>, pass_to_pass array<string>, test_results map<string,string>, category string, would_catch string,
  which_property string, analysis_note string, labeled_by string, label_timestamp string"""
@@ -33,26 +36,50 @@ def _read(spark: SparkSession, path: str, schema: str, multi_line: bool = False)
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
-def load_labeled(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled failures from JSON lines; blank lines are skipped and missing fields take their defaults.
+def _complete(d: DataFrame) -> DataFrame:
+    """Labelled records with all columns; missing fields take their defaults."""
+    have = set(d.columns)
+    schema = StructType.fromDDL(LABELED)
+    d = d.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    empty = F.array().cast("array<string>")
+    return d.where("instance_id IS NOT NULL").fillna(LABELED_DEFAULTS).withColumn("fail_to_pass", F.coalesce("fail_to_pass", empty)).withColumn(
+        "pass_to_pass", F.coalesce("pass_to_pass", empty)).withColumn(
+        "test_results", F.coalesce("test_results", F.expr("cast(map() AS map<string,string>)")))
+
+
+def load_labeled(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Labelled failures from a store that ``save_labeled`` wrote, else from JSON lines, whose blank lines are skipped.
 
     A set that nobody has begun yet is empty: of all readers, only this one accepts a missing path.
     """
+    stored = RecordStore(spark, path).read(version)
+    if stored is not None:
+        return _complete(stored)
     try:
-        d = _read(spark, path, LABELED).where("instance_id IS NOT NULL")
+        return _complete(_read(spark, path, LABELED))
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        d = spark.createDataFrame([], LABELED)
-    empty = F.array().cast("array<string>")
-    d = d.fillna(LABELED_DEFAULTS)
-    return d.withColumn("fail_to_pass", F.coalesce("fail_to_pass", empty)).withColumn("pass_to_pass", F.coalesce("pass_to_pass", empty)).withColumn(
-        "test_results", F.coalesce("test_results", F.expr("cast(map() AS map<string,string>)")))
+    return _complete(spark.createDataFrame([], LABELED))
 
 
 def save_labeled(df: DataFrame, path: str) -> None:
-    """Replace the dataset; the job's committer makes the write all or nothing."""
-    df.write.mode("overwrite").json(path)
+    """Replace the set by a new version; until it is complete, and if it never is, readers see the old one.
+
+    ``df`` may come from the same path. One row per instance stays.
+    """
+    RecordStore(df.sparkSession, path).replace(_complete(df))
+
+
+def merge_labeled(df: DataFrame, path: str) -> None:
+    """Put records into the set, in place of those of the same instances; only the parts they fall into are rewritten.
+
+    A set that is still plain JSON lines is taken over as the first version.
+    """
+    store = RecordStore(df.sparkSession, path)
+    if store.version() is None:
+        store.replace(load_labeled(df.sparkSession, path))
+    store.merge(_complete(df))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "instance_id") -> DataFrame:
@@ -65,6 +92,20 @@ def load_feedback(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, FEEDBACK, True)
 
 
+def feedback_instances(feedback: DataFrame, labeled: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Instances that have feedback, with what the labelled record of each tells; without one, fields are empty.
+
+    ``ids`` keeps only instances it names. One row per feedback record; ``labeled`` has one row per instance.
+    """
+    if ids is not None:
+        feedback = select_instances(feedback, ids)
+    texts = ["repo", "base_commit", "problem_statement"]
+    d = feedback.select("instance_id").join(labeled.select("instance_id", *texts, "fail_to_pass", "pass_to_pass", F.col("patch").alias("gold_patch")), "instance_id", "left")
+    return d.select("instance_id", *[F.coalesce(c, F.lit("")).alias(c) for c in texts],
+                    *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("fail_to_pass", "pass_to_pass")],
+                    F.coalesce("gold_patch", F.lit("")).alias("gold_patch"))
+
+
 def load_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Arm pairs flattened to the columns of ``experiments.coverage_lift``; ``legacy`` marks rows without scores."""
     d = _read(spark, folder, PAIR, True).where("instance_id IS NOT NULL")
