@@ -2,13 +2,17 @@
 
 1. One scan sums words into at most ``2 ** CELL_BITS`` hash cells of each source (combined map-side, so a hot
    source costs no task more than others). Cells form blocks; a source's blocks stand in a permuted order.
-2. Targets follow from the per-source sums; a target is so many whole passes over a source's blocks and a
-   part of one more, which ends inside a boundary block, at a hash below which its documents are taken.
-   A few single documents of that block close the remaining gap.
+2. Sources are a table throughout, numbered in order, and their number is not limited. The level up to which
+   targets are filled follows from a few rounds of sums over them. A target is so many whole passes over a
+   source's blocks and a part of one more, which ends inside a boundary block, cut once more by further bits of
+   the hash to about ``BLOCK_DOCUMENTS`` documents, at a hash below which its documents are taken. A few single
+   documents of that part close the remaining gap.
 3. The tree splits the exact numbers of drawn blocks among output shards: each node deals its blocks of
-   every source to its two halves by one multivariate-hypergeometric draw. A draw's shard is found by
-   walking down from the root, so no table of shards exists anywhere. Draws of a source are disjoint
-   ranges of its permuted blocks; inside a shard, rows are ordered by a hash.
+   every source to its two halves by one multivariate-hypergeometric draw, made as a tree of draws between
+   halves of the sources. So a source needs only the sums of the halves beside it, and a draw's shard is found by
+   walking down from the root; no table of shards and no list of all sources exists anywhere. Draws of a source
+   are disjoint ranges of its permuted blocks; inside a shard, rows are ordered by a hash. Where a node holds
+   10^9 blocks or more, the draw between two halves is its expected value, rounded at random.
 
 Defined results: a null source is a source of its own, after all others; a null text has no words, and a
 source without words has target 0. Rows that repeat are drawn together. An empty table gives an empty mix.
@@ -34,7 +38,7 @@ CELL_BITS = 14
 BLOCK_DOCUMENTS = 1024      # wanted in a block, while a source has fewer than 2 ** CELL_BITS of them
 SHARD_WORDS = 8_000_000
 FILLS = 16                  # single documents that close the gap of one source at most
-MAX_SOURCES = 100_000       # sources are a catalogue; their sums are held in the driver
+REMEMBERED = 500_000        # draws that a task keeps; others are made again, with the same result
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -49,38 +53,65 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return [out[i] for i in range(len(sizes))]
 
 
+def _first(seed: list[int], even: int, odd: int, want: int) -> int:
+    """How many of ``want`` blocks come from the first of two groups."""
+    if not even or not odd or not want or want == even + odd:
+        return min(even, want) if not odd or want == even + odd else 0
+    rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence(seed)))
+    if even + odd < 10 ** 9:
+        return int(rng.hypergeometric(even, odd, want))
+    whole, rest = divmod(want * even, even + odd)
+    return min(even, want, max(want - odd, whole + int(rng.random() < rest / (even + odd))))
+
+
+def walk(source: int, own: int, beside: list[int], draws: np.ndarray, shards: int, seed: int, memory: dict) -> np.ndarray:
+    """The shards of draws of one source.
+
+    ``own`` is its number of blocks, ``beside[j]`` that of the ``2 ** j`` sources next to the ``2 ** j`` aligned
+    ones that it is among. ``memory`` keeps what other walks can use again.
+    """
+    out = np.zeros(len(draws), np.int32)
+    todo = [(0, shards, own, list(beside), np.arange(len(draws)), draws.astype(np.int64))]
+    while todo:
+        lo, hi, own, beside, rows, place = todo.pop()
+        if not len(rows) or hi - lo == 1:
+            out[rows] = lo
+            continue
+        mid = (lo + hi) // 2
+        left, total = [0] * len(beside), own + sum(beside)
+        mine, inside = total * (mid - lo) // (hi - lo), total    # of the group that the source is among
+        for j in range(len(beside) - 1, -1, -1):
+            here = source >> j
+            inside -= beside[j]
+            at = (lo, hi, j, here >> 1)
+            if at not in memory:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                pair = (inside, beside[j]) if not here & 1 else (beside[j], inside)
+                memory[at] = _first([seed, *at], *pair, mine)
+            even = memory[at]
+            mine, left[j] = (even, mine - even) if not here & 1 else (mine - even, even)
+        first = place < mine
+        todo.append((lo, mid, mine, left, rows[first], place[first]))
+        todo.append((mid, hi, own - mine, [b - x for b, x in zip(beside, left)], rows[~first], (place - mine)[~first]))
+    return out
+
+
 @dataclass(frozen=True)
 class SplittingTree:
-    """Deals ``counts[s]`` blocks of each source to ``shards`` shards."""
+    """Deals ``counts[s]`` blocks of each source to ``shards`` shards, where all counts are at hand."""
 
     counts: tuple[int, ...]
     shards: int
     seed: int
 
-    def left(self, lo: int, hi: int, counts: np.ndarray) -> np.ndarray:
-        """Blocks of each source that go to the first half of shards lo to hi - 1."""
-        total = int(counts.sum())
-        want = total * ((lo + hi) // 2 - lo) // (hi - lo)
-        rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([self.seed, lo, hi])))
-        return rng.multivariate_hypergeometric(counts, want, method="marginals")
-
     def shard_of(self, source: np.ndarray, draw: np.ndarray, memory: dict) -> np.ndarray:
         """The shards of draws; ``memory`` keeps the nodes met before."""
         out = np.zeros(len(draw), np.int32)
-        todo = [(0, self.shards, np.array(self.counts, np.int64), np.arange(len(draw)), draw.astype(np.int64))]
-        while todo:
-            lo, hi, counts, rows, place = todo.pop()
-            if not len(rows) or hi - lo == 1:
-                out[rows] = lo
-                continue
-            if (lo, hi) not in memory:
-                memory[lo, hi] = self.left(lo, hi, counts)
-            left = memory[lo, hi]
-            mine = left[source[rows]]
-            first = place < mine
-            mid = (lo + hi) // 2
-            todo.append((lo, mid, left, rows[first], place[first]))
-            todo.append((mid, hi, counts - left, rows[~first], (place - mine)[~first]))
+        for s in np.unique(source).tolist():
+            beside = [sum(self.counts[((s >> j) ^ 1) << j:(((s >> j) ^ 1) + 1) << j]) for j in range((len(self.counts) - 1).bit_length())]
+            rows = np.flatnonzero(source == s)
+            out[rows] = walk(s, self.counts[s], beside, draw[rows], self.shards, self.seed, memory)
         return out
 
 
@@ -104,12 +135,48 @@ def close_gap(marks: np.ndarray, sizes: np.ndarray, gap: float) -> tuple[int | N
     return (int(marks[n - 1]) if n else None), fills
 
 
-def _plan(spark, rows: list[dict], schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+def numbered(sums: DataFrame) -> DataFrame:
+    """Sources with their place ``s`` in order, null last: sorted in ranges, whose sizes are all that is collected."""
+    order = F.col("s_name").asc_nulls_last()
+    ranges = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = common.written(sums.repartitionByRange(ranges, order).sortWithinPartitions(order).select(
+        "*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i")), "mix-sources")
+    starts, at = [], 0
+    for r in sorted(rows.groupBy("p").count().collect()):
+        starts.append((r["p"], at))
+        at += r["count"]
+    return rows.join(sums.sparkSession.createDataFrame(starts, "p int, start long"), "p").withColumn("s", F.col("start") + F.col("i")).drop("p", "i", "start")
 
 
-PLAN = "s_name string, s int, bits int, mult long, add long, base int, last long, mark long, fills array<long>, words long, target double"
+def level(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[float, int]:
+    """Words for each unit of weight, beyond which only full sources stay behind, and all words.
+
+    Each round is one sum over the sources by their weight; sums are of whole numbers, so no order matters.
+    """
+    w = F.array(*[F.lit(float(x)) for x in weights])[F.col("j")]
+    unit, before, words = 0.0, -1, 0
+    while True:
+        full = F.lit(unit) * w > F.lit(most) * F.col("words")
+        got = sorted(sources.where("words > 0").groupBy("j").agg(
+            F.sum("words").alias("words"), F.coalesce(F.sum(F.when(full, F.col("words"))), F.lit(0)).alias("full_words"),
+            F.count_if(full).alias("full"), F.count_if(~full).alias("open")).collect(), key=lambda r: r["j"])
+        words = sum(r["words"] for r in got)
+        open_, filled = sum(weights[r["j"]] * r["open"] for r in got), sum(r["full"] for r in got)
+        if filled == before or not open_:
+            return unit, words
+        before, unit = filled, max(unit, (share * words - most * sum(r["full_words"] for r in got)) / open_)
+
+
+def with_beside(plan: DataFrame, n: int) -> DataFrame:
+    """``plan`` with ``beside``: for each j the ``count`` of the aligned ``2 ** j`` sources next to the source's own."""
+    depth = (n - 1).bit_length() if n else 0
+    if not depth:
+        return plan.withColumn("beside", F.array().cast("array<long>"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))
+    groups = plan.select(F.col("s"), F.col("count"), steps.alias("j")).groupBy("j", F.expr("shiftright(s, j)").alias("g")).agg(F.sum("count").alias("sum"))
+    wanted = plan.select("s", steps.alias("j")).withColumn("g", F.expr("shiftright(s, j) ^ 1L"))
+    found = wanted.join(groups, ["j", "g"], "left").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("j", F.coalesce("sum", F.lit(0).cast("long")).alias("sum")))).alias("x"))
+    return plan.join(found.select("s", F.expr("transform(x, y -> y.sum)").alias("beside")), "s")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None,
@@ -120,7 +187,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ``draws`` are the positions of its copies in its source's sequence, ``shards`` where each copy goes and
     ``ranks`` its place there; a document that is left out has none.
     """
-    spark = common.on_workers(docs).sparkSession
+    docs = common.on_workers(docs)
     keep = list(docs.columns) if keep is None else keep
     p = {n: f"_{n}" for n in ("source", "size", "mark")}
     rows = docs.select(     # kept columns have numbers for names until the end, so they meet no other
@@ -130,18 +197,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     cell = F.shiftrightunsigned(F.col(p["mark"]), 64 - CELL_BITS)
     cells = common.written(rows.groupBy(F.col(p["source"]).alias("s_name"), cell.alias("cell")).agg(
         F.sum(p["size"]).alias("words"), F.count(F.lit(1)).alias("rows")), "mix-cells")
-    sums = cells.groupBy("s_name").agg(F.sum("words").alias("words"), F.sum("rows").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: the source column is no catalogue")
-    sums.sort(key=lambda r: (r["s_name"] is None, r["s_name"] or ""))
-    goal = targets([r["words"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], share, most)
-    plan, rng = [], np.random.Generator(np.random.PCG64(seed))
-    for i, (r, t) in enumerate(zip(sums, goal)):
-        bits = min(CELL_BITS, max(0, (r["rows"] // BLOCK_DOCUMENTS).bit_length() - 1))
-        base = int(t // r["words"]) if r["words"] else 0
-        plan.append({"s_name": r["s_name"], "s": i, "bits": bits, "mult": int(rng.integers(0, 1 << bits)) | 1, "add": int(rng.integers(0, 1 << bits)),
-                     "base": base, "last": -1, "mark": None, "fills": [], "words": r["words"], "target": t})
-    rest = [{"s_name": x["s_name"], "s": x["s"], "bits": x["bits"], "mult": x["mult"], "add": x["add"], "rest": x["target"] - x["base"] * x["words"]} for x in plan]
+    sources = numbered(cells.groupBy("s_name").agg(F.sum("words").alias("words"), F.sum("rows").alias("rows"))).withColumn(
+        "j", (F.col("s") % len(weights)).cast("int"))
+    unit, words = level(sources, weights, share, most)
+    most_, weighed = F.lit(most) * F.col("words"), F.lit(unit) * F.array(*[F.lit(float(x)) for x in weights])[F.col("j")]
+    bits = lambda c: F.expr(f"least({CELL_BITS}, length(bin({c} div {BLOCK_DOCUMENTS})) - 1)")
+    h, mask = F.xxhash64("s_name", F.lit(seed)), F.expr("shiftleft(1L, bits) - 1")
+    sources = sources.withColumn("bits", bits("rows")).withColumn("sub", bits("shiftright(rows, bits)")).select(
+        "s_name", "s", "words", "bits", "sub", h.bitwiseAND(mask).bitwiseOR(F.lit(1)).alias("mult"), F.shiftrightunsigned(h, 32).bitwiseAND(mask).alias("add"),
+        F.when(F.col("words") == 0, 0.0).when(weighed > most_, most_).otherwise(weighed).alias("target")).withColumn(
+        "base", F.expr("CASE WHEN words = 0 THEN 0 ELSE cast(floor(target / words) AS int) END")).withColumn("rest", F.expr("target - base * words"))
+    sources = common.written(sources, "mix-plan")
 
     def placed(df: DataFrame, name: str, c: Column, small: DataFrame) -> DataFrame:
         """Rows with their source's plan and the place of their cell's block in the permuted order."""
@@ -150,43 +216,50 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         return df.withColumn("_cell", c).join(small, df[name].eqNullSafe(small["_plan_name"])).withColumn("_block", block).withColumn(
             "_pos", F.expr("(mult * _block + add) & (shiftleft(1L, bits) - 1)"))
 
-    if plan:
-        small = _plan(spark, rest, "s_name string, s int, bits int, mult long, add long, rest double")
-        blocks = placed(cells, "s_name", F.col("cell"), small).groupBy("s", "rest", "_pos").agg(F.sum("words").alias("words"))
-        # A source has at most 2 ** CELL_BITS blocks, whatever its size.
-        before = F.expr("sum(words) OVER (PARTITION BY s ORDER BY _pos) - words")
-        edge = blocks.withColumn("before", before).where("before < rest AND words > 0").groupBy("s").agg(
-            F.max("_pos").alias("last"), F.max_by("before", "_pos").alias("before")).collect()
-        for r in edge:
-            plan[r["s"]]["last"] = r["last"]
-        gaps = {r["s"]: rest[r["s"]]["rest"] - r["before"] for r in edge}
-        edges = [{**x, "last": plan[x["s"]]["last"], "gap": float(gaps[x["s"]])} for x in rest if x["s"] in gaps]
-        if edges:
-            small = _plan(spark, edges, "s_name string, s int, bits int, mult long, add long, last long, gap double")
-            block = placed(rows, p["source"], cell, small).where("_pos = last").groupBy("s", "gap", F.col(p["mark"]).alias("m")).agg(F.sum(p["size"]).alias("n"))
-
-            def choose(d: pd.DataFrame) -> pd.DataFrame:
-                mark, fills = close_gap(d["m"].to_numpy(), d["n"].to_numpy(), float(d["gap"].iloc[0]))
-                return pd.DataFrame({"s": [d["s"].iloc[0]], "mark": pd.array([mark], "Int64"), "fills": [fills]})
-
-            for r in block.groupBy("s").applyInPandas(choose, "s int, mark long, fills array<long>").collect():
-                plan[r["s"]] |= {"mark": r["mark"], "fills": list(r["fills"])}
-    counts = tuple(x["base"] * (1 << x["bits"]) + x["last"] + 1 for x in plan)
-    shards = shards or max(1, -(-int(sum(goal)) // SHARD_WORDS))
-    tree = SplittingTree(counts, shards, seed)
+    def boundary(df: DataFrame, place: str, gap: str) -> DataFrame:
+        """The last place of each source that begins below its gap, and the gap that is left there; places are at most 2 ** CELL_BITS."""
+        before = F.expr(f"sum(words) OVER (PARTITION BY s ORDER BY {place}) - words")
+        return df.withColumn("before", before).where(f"before < {gap} AND words > 0").groupBy("s").agg(
+            F.max(place).alias(place), F.max_by(F.col(gap) - F.col("before"), place).alias(f"{place}_gap"))
+
+    plan = sources.select("s_name", "s", "bits", "sub", "mult", "add", "rest")
+    edges = boundary(placed(cells, "s_name", F.col("cell"), plan).groupBy("s", "rest", "_pos").agg(F.sum("words").alias("words")), "_pos", "rest")
+    edges = common.written(edges.withColumnsRenamed({"_pos": "last", "_pos_gap": "gap"}), "mix-edges")
+    part = F.expr(f"CASE WHEN sub = 0 THEN 0L ELSE shiftrightunsigned(shiftleft({p['mark']}, bits), 64 - sub) END")
+    block = common.written(placed(rows.select(p["source"], p["size"], p["mark"]), p["source"], cell, plan.join(edges, "s")).where("_pos = last").groupBy(
+        "s", "gap", part.alias("_part"), F.col(p["mark"]).alias("m")).agg(F.sum(p["size"]).alias("n")), "mix-block")
+    parts = boundary(block.groupBy("s", "gap", "_part").agg(F.sum("n").alias("words")), "_part", "gap")
+
+    def choose(d: pd.DataFrame) -> pd.DataFrame:
+        mark, fills = close_gap(d["m"].to_numpy(), d["n"].to_numpy(), float(d["_part_gap"].iloc[0]))
+        low = int(d["m"].min())     # all of the parts before this one is taken
+        mark = mark if mark is not None else low - 1 if low > -2 ** 63 else None
+        return pd.DataFrame({"s": [d["s"].iloc[0]], "mark": pd.array([mark], "Int64"), "fills": [fills]})
+
+    chosen = block.join(parts, ["s", "_part"]).select("s", "m", "n", "_part_gap").groupBy("s").applyInPandas(choose, "s long, mark long, fills array<long>")
+    plan = sources.join(edges.drop("gap"), "s", "left").join(chosen, "s", "left").withColumn("last", F.coalesce("last", F.lit(-1).cast("long"))).withColumn(
+        "fills", F.coalesce("fills", F.array().cast("array<long>"))).withColumn("count", F.expr("base * shiftleft(1L, bits) + last + 1"))
+    plan = common.written(plan.drop("rest", "sub"), "mix-plan-whole")
+    plan = common.written(with_beside(plan, plan.count()), "mix-tree")
+    shards = shards or max(1, -(-int(min(share, most) * words) // SHARD_WORDS))
 
     @F.pandas_udf("array<int>")
-    def shard_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def shard_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         memory: dict = {}
-        for s, d in batches:
+        for s, own, beside, d in batches:
             n = np.array([len(x) for x in d], np.int64)
             flat = np.concatenate([*d, np.zeros(0, np.int64)]).astype(np.int64)
-            at = common.offsets_of(n)
-            found = tree.shard_of(np.repeat(s.to_numpy(), n), flat, memory)
+            at, found = common.offsets_of(n), np.zeros(len(flat), np.int32)
+            source, row = np.repeat(s.to_numpy(), n), np.repeat(np.arange(len(n)), n)
+            by_source = np.argsort(source, kind="stable")
+            for places in np.split(by_source, np.flatnonzero(np.diff(source[by_source])) + 1):
+                if len(places):
+                    i = row[places[0]]
+                    found[places] = walk(int(s.iloc[i]), int(own.iloc[i]), [int(x) for x in beside.iloc[i]], flat[places], shards, seed, memory)
             yield pd.Series([found[a:b] for a, b in zip(at, at[1:])])
 
     names = {n: common.fresh(keep, n) for n in ("size", "source_size", "target", "taken", "draws", "shards", "ranks")}
-    full = placed(rows, p["source"], cell, _plan(spark, plan, PLAN))
+    full = placed(rows, p["source"], cell, plan)
     extra = F.expr(f"_pos < last OR (_pos = last AND (coalesce({p['mark']} <= mark, false) OR array_contains(fills, {p['mark']})))")
     passes = F.col("base") + extra.cast("int")
     draws = F.expr("transform(sequence(1, _n), x -> cast(x - 1 AS long) * shiftleft(1L, bits) + _pos)")
@@ -194,7 +267,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return full.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col(p["size"]).alias(names["size"]), F.col("words").alias(names["source_size"]),
         F.col("target").alias(names["target"]), (F.col(p["size"]) * F.col("_n")).alias(names["taken"]), F.col("_draws").alias(names["draws"]),
-        shard_of(F.col("s"), F.col("_draws")).alias(names["shards"]),
+        shard_of(F.col("s"), F.col("count"), F.col("beside"), F.col("_draws")).alias(names["shards"]),
         F.transform("_draws", lambda x: F.xxhash64(F.col(p["mark"]), x)).alias(names["ranks"]))
 
 
