@@ -66,6 +66,13 @@ def filter_failures(df: DataFrame, labeled_only=False, analyzable_only=False, ca
     return df
 
 
+def audit_ids(audit: DataFrame, verdict: str) -> DataFrame:
+    """Each instance once whose verdict is ``analyzable`` (yes or partial), ``non_analyzable`` (no) or ``any`` (not empty)."""
+    is_no = F.col("would_catch") == "no"
+    wanted = {"analyzable": is_analyzable(), "non_analyzable": is_no, "any": F.col("would_catch") != ""}
+    return audit.where(wanted[verdict]).select("instance_id").distinct()
+
+
 def failed_held_out() -> Column:
     """Held-out tests that did not pass, including those without a result."""
     return F.expr("filter(fail_to_pass, t -> NOT (test_results[t] <=> 'PASSED'))")
@@ -167,6 +174,12 @@ def error_records(results: DataFrame) -> DataFrame:
     return results.withColumn("e", e).where("e IS NOT NULL").select("instance_id", F.substring("e", 1, 120).alias("error"))
 
 
+def diagnostics(results: DataFrame) -> DataFrame:
+    """How many records there are, have an error in either arm, or come from before scores were kept."""
+    error = F.coalesce(F.nullif("g_error", F.lit("")), F.nullif("a_error", F.lit("")))
+    return results.agg(F.count(F.lit(1)).alias("n"), count_if(error.isNotNull()).alias("n_errors"), count_if(F.col("legacy")).alias("n_legacy"))
+
+
 def out_of_scope(results: DataFrame, analyzable: DataFrame) -> DataFrame:
     """Results outside the analysable set; nothing when that set is empty."""
     known = analyzable.agg(F.count(F.lit(1)) > 0).scalar()
