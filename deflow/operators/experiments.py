@@ -249,12 +249,17 @@ def match_expected(expected: DataFrame, found: DataFrame) -> DataFrame:
     ``expected``: case, symbol, kind, dedup; ``found``: case, symbol, kind (one row per consumer). An
     expectation counts when any consumer has its symbol and kind; in dedup cases consumers are counted.
     """
-    seen = found.select("case", "symbol", "kind").distinct().withColumn("hit", F.lit(1))
-    n = found.groupBy("case").agg(F.count(F.lit(1)).alias("n_found"))
-    e = expected.join(seen, ["case", "symbol", "kind"], "left").groupBy("case").agg(
-        F.count(F.lit(1)).alias("expected"), F.count("hit").alias("matched"), F.bool_or("dedup").alias("dedup"))
-    return e.join(n, "case", "left").select("case", "expected", F.when(
-        F.col("dedup"), F.least(F.coalesce("n_found", F.lit(0)), F.col("expected"))).otherwise(F.col("matched")).alias("caught"))
+    key, one, none = ["case", "symbol", "kind"], F.lit(1), F.lit(0)
+    both = expected.select(*key, "dedup", one.alias("e"), none.alias("f")).unionByName(
+        found.select(*key, F.lit(None).cast("boolean").alias("dedup"), none.alias("e"), one.alias("f")))
+    # Both sides are counted in the same groups, so nothing is sorted or joined; null equals nothing.
+    per = both.groupBy(*key).agg(F.sum("e").alias("e"), F.sum("f").alias("f"), F.bool_or("dedup").alias("dedup"))
+    hit = (F.col("f") > 0) & F.col("case").isNotNull() & F.col("symbol").isNotNull() & F.col("kind").isNotNull()
+    cases = per.groupBy("case").agg(
+        F.sum("e").alias("expected"), F.sum(F.when(hit, F.col("e")).otherwise(0)).alias("matched"),
+        F.sum(F.when(F.col("case").isNotNull(), F.col("f")).otherwise(0)).alias("n_found"), F.bool_or("dedup").alias("dedup"))
+    return cases.where("expected > 0").select("case", "expected", F.when(
+        F.col("dedup"), F.least("n_found", "expected")).otherwise(F.col("matched")).alias("caught"))
 
 
 def corpus_gate(cases: DataFrame) -> DataFrame:
