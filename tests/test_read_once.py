@@ -2,7 +2,32 @@
 
 import pytest
 
+from deflow.operators import solver
+from deflow.operators.facts import tapes
+from deflow.operators.solver import place, solve
 from deflow.sources import syntax
+from deflow.sources.code import parse_sources
+
+FILES = {
+    "leaf": "def leaf(p):\n    return None\n",
+    "middle": "def middle(q):\n    w = leaf(q)\n    return w\n",
+    "top": "def top(r):\n    v = middle(None)\n    v.run()\n",
+    "apart": "def apart(s):\n    s.run()\n    z z\n",
+}
+
+
+@pytest.fixture(scope="module")
+def state(spark):
+    sources = spark.createDataFrame([("ws", u, t) for u, t in FILES.items()], "ws string, uri string, text string")
+    return solve(place(tapes(parse_sources(sources))))
+
+
+def test_names_are_resolved_from_a_copy_without_tapes(state, monkeypatch):
+    kept = []
+    monkeypatch.setattr(solver, "cut", lambda df, *a, **k: kept.append(df.columns) or df)
+    links, _ = solver.resolve(state.functions, "workspace")
+    assert {(r.uri, r.callee, r.c_uri) for r in links.collect()} == {("middle", "leaf", "leaf"), ("top", "middle", "middle")}
+    assert "callees" in kept[0] and "tape" not in kept[0] and "ctxs" not in kept[0]
 
 
 def test_no_text_is_parsed_twice(monkeypatch, text):
