@@ -22,6 +22,10 @@ def state(spark):
     return solve(place(tapes(parse_sources(sources))))
 
 
+def test_the_solution_keeps_the_reached_contexts(state):
+    assert {(r.uri, r.ctx) for r in state.reached.collect()} == {("middle", 0), ("leaf", 0)}
+
+
 def test_names_are_resolved_from_a_copy_without_tapes(state, monkeypatch):
     kept = []
     monkeypatch.setattr(solver, "cut", lambda df, *a, **k: kept.append(df.columns) or df)
