@@ -5,6 +5,7 @@ import pytest
 from deflow.operators import solver
 from deflow.operators.facts import tapes
 from deflow.operators.solver import place, solve
+from deflow.operators.witness import returning_none, witnesses
 from deflow.sources import syntax
 from deflow.sources.code import parse_sources
 
@@ -34,6 +35,14 @@ def test_names_are_resolved_from_a_copy_without_tapes(state, monkeypatch):
     assert "callees" in kept[0] and "tape" not in kept[0] and "ctxs" not in kept[0]
 
 
+def test_traces_go_on_in_functions_that_return_none(state):
+    told = returning_none(state)
+    assert {r.uri for r in told.select("uri").collect()} == {"leaf", "middle"} and "ctxs" not in told.columns
+    found = [[s.kind for s in r.witness] for r in witnesses(state).collect() if r.uri == "top"]
+    assert found == [["none_assignment", "call_return", "call_return", "consumer"]]
+
+
+@pytest.mark.parametrize("text", ["def f(a=None):\n    a.x\n    z z\n", "def f(a=None):\n    if a:\n        z z\n    a.x\n", "z z\n"])
 def test_no_text_is_parsed_twice(monkeypatch, text):
     seen, parse = [], syntax._parse
     monkeypatch.setattr(syntax, "_parse", lambda data: seen.append(data) or parse(data))
