@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from deflow.operators.diff import diff
 from deflow.operators.experiments import match_expected
-from deflow.operators.facts import tapes
 from deflow.operators.shaping import findings, opaque_steps, with_root
 from deflow.operators.solver import place, solve
 from deflow.operators.witness import witnesses
-from deflow.sources.code import parse_sources
+from deflow.sources.code import read_tapes
 
 
 def evaluate(specs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -31,7 +30,7 @@ def evaluate(specs: DataFrame, texts: DataFrame) -> DataFrame:
     found = broken.unionByName(repaired).join(texts.select("path", "text"), "path", "left")
     lost = found.where("text IS NULL").groupBy(F.regexp_replace("ws", "#fixed$", "").alias("id")).agg(
         F.array_join(F.array_sort(F.collect_set("path")), ", ").alias("lost"))
-    solved = solve(place(tapes(parse_sources(found.where("text IS NOT NULL").select("ws", "uri", "text")))))
+    solved = solve(place(read_tapes(found.where("text IS NOT NULL").select("ws", "uri", "text"))))
     before = solved.regressions.where(~F.col("ws").endswith("#fixed"))
     after = solved.regressions.where(F.col("ws").endswith("#fixed")).withColumn("ws", F.regexp_replace("ws", "#fixed$", ""))
     has_fix = specs.where(fixed.isNotNull()).select(F.col("id").alias("ws"))
@@ -55,7 +54,7 @@ def sweep(sources: DataFrame) -> DataFrame:
 
     ``sources``: instance_id, uri, text (null when the file could not be had).
     """
-    solved = solve(place(tapes(parse_sources(sources.where("text IS NOT NULL").withColumnRenamed("instance_id", "ws")))))
+    solved = solve(place(read_tapes(sources.where("text IS NOT NULL").withColumnRenamed("instance_id", "ws"))))
     found = findings(with_root(witnesses(solved)), ["ws"]).groupBy(F.col("ws").alias("instance_id")).agg(
         F.count(F.lit(1)).alias("n_regressions"), F.count_if(F.col("confidence") == "high").alias("n_high"),
         F.collect_set("confidence").alias("confidences"))

@@ -19,10 +19,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from deflow.operators.diff import diff
-from deflow.operators.facts import tapes
 from deflow.operators.solver import KEY, Solved, alone, place, resume, solve
 from deflow.session import cut
-from deflow.sources.code import parse_sources
+from deflow.sources.code import read_tapes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -162,7 +161,7 @@ class LiveAnalysis:
             return
         self._load(batch)
         changed = cut(changed.select("ws", "uri", "text", "rev", "sha"))
-        fresh = cut(alone(tapes(parse_sources(changed.where("text IS NOT NULL")))))
+        fresh = cut(alone(read_tapes(changed.where("text IS NOT NULL"))))
         fresh.write.mode("overwrite").parquet(self._path("functions", batch))
         changed.drop("text").write.mode("overwrite").parquet(self._path("files", batch))
         before = self._solved
