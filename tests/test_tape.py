@@ -5,9 +5,11 @@ import random
 
 from deflow.functions.annotations import annotation_code, annotation_value
 from deflow.operators.facts import tapes
+from deflow.operators.solver import intraprocedural, place
 from deflow.plans.language import FORMS
 from deflow.plans.programs import told
-from deflow.sources.code import TAPE_DDL, parse_sources, read_tapes
+from deflow.plans.workspace import analyse, edited
+from deflow.sources.code import TAPE_DDL, file_unknowns, parse_sources, read_tapes, read_unknowns
 
 TEXTS = [
     "def f(a, b: int = None, c: Optional[str] = 3, *r: int, k=None, **w):\n    (yield)\n    a: str = b\n    x: 'None' = f(a)(b)\n    y: int\n    x = a.b(c, None, k=1, *r)\n",
@@ -49,3 +51,40 @@ def test_queries_over_facts_get_no_nodes(spark):
     assert "nodes" not in read._jdf.queryExecution().optimizedPlan().toString()
     assert read.schema.simpleString() == spark.createDataFrame([], TAPE_DDL).schema.simpleString()
     assert [(r["n_params"], len(r["tape"])) for r in read.collect()] == [(1, 2)]
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_what_one_function_tells_needs_no_place(spark):
+    texts = [t.replace("~", "\n") for _, t, _ in FORMS] + ["def f(a):\n    a = None\n    if b:\n        a.x\n    a.x\n"]
+    files = spark.createDataFrame([("ws", str(i), t) for i, t in enumerate(texts)], "ws string, uri string, text string")
+    read = intraprocedural(read_tapes(files))
+    assert "Join" not in read._jdf.queryExecution().optimizedPlan().toString()
+    want = rows(intraprocedural(place(read_tapes(files))))
+    assert len(want) > 20 and rows(read) == want
+
+
+def test_unreadable_regions_come_without_functions(spark):
+    texts = [t for t in TEXTS if t] + [t.replace("~", "\n") for _, t, _ in FORMS]
+    files = spark.createDataFrame([("ws", str(i), t) for i, t in enumerate(texts)], "ws string, uri string, text string")
+    read = read_unknowns(files)
+    assert "nodes" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert len(rows(read)) > 2 and rows(read) == rows(file_unknowns(parse_sources(files)))
+
+
+def test_edits_are_read_once(spark):
+    text = "def f(a=None):\n    a.x\n"
+    state = analyse(spark.createDataFrame([("ws", str(i), text) for i in range(6)], "ws string, uri string, text string"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edits = spark.createDataFrame([("ws", "1", text.replace("x", "y")), ("ws", "2", None)], "ws string, uri string, text string")
+    after = edited(state, edits.mapInArrow(counted, edits.schema))
+    assert sorted(r["uri"] for r in after.solved.regressions.collect()) == ["0", "1", "3", "4", "5"]
+    assert seen.value == 2
